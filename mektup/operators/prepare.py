@@ -28,18 +28,21 @@ def cleaned(text: Column, config: Config) -> Column:
 def clean_mails(mails: DataFrame, config: Config = Config()) -> DataFrame:
     """Drop incomplete rows, add ``text_raw`` and ``text_clean``, drop texts that are too short."""
     require_columns(mails)
-    rows = (
-        mails.dropna(subset=list(REQUIRED))
-        .withColumn("text_raw", raw_text())
-        .withColumn("text_clean", cleaned(F.col("text_raw"), config))
+    rows = mails.dropna(subset=list(REQUIRED)).withColumn("text_raw", raw_text())
+    clean = cleaned(F.col("text_raw"), config)
+    if config.keep_empty:
+        return rows.withColumn("text_clean", clean)
+    # Not a filter: the optimiser would push it below the projection and clean every text again,
+    # once per mention. Unfolding an array of no or one text cleans and filters in one go.
+    return rows.withColumn(
+        "text_clean", F.explode(F.filter(F.array(clean), lambda c: has_words(c, config.min_words)))
     )
-    return rows if config.keep_empty else rows.filter(has_words(F.col("text_clean"), config.min_words))
 
 
 def has_words(clean: Column, min_words: int = 3) -> Column:
     """True when a clean text is not blank and has at least ``min_words`` words."""
-    words = F.when(F.trim(clean) == "", 0).otherwise(F.size(F.split(clean, " ")))
-    return words >= max(min_words, 1)
+    words = F.length(clean) - F.length(F.replace(clean, F.lit(" "), F.lit(""))) + 1
+    return (clean != "") & (words >= min_words)
 
 
 def keeps(config: Config = Config()) -> Column:
@@ -47,7 +50,8 @@ def keeps(config: Config = Config()) -> Column:
     complete = F.col("category").isNotNull() & F.col("subject").isNotNull() & F.col("body").isNotNull()
     if config.keep_empty:
         return complete
-    return complete & has_words(cleaned(raw_text(), config), config.min_words)
+    clean = F.array(cleaned(raw_text(), config))
+    return complete & F.exists(clean, lambda c: has_words(c, config.min_words))
 
 
 def with_metrics(rows: DataFrame, text: str = "text_raw") -> DataFrame:
