@@ -384,6 +384,10 @@ keyed AS (
           SELECT response_id, row_number() OVER (PARTITION BY response_id ORDER BY rec) AS record, category, subject, body
           FROM heads JOIN bodies USING (response_id, rec) WHERE subject IS NOT NULL""",
         "stream_dedupe": "SELECT event_id, user_id, event_type, value FROM events",
+        "store_append": with_
+        + MAILS
+        + """ SELECT category, count(*) AS n FROM (SELECT category FROM mails
+          QUALIFY row_number() OVER (PARTITION BY subject, body ORDER BY mail_id) = 1) GROUP BY category""",
         "csv_round_trip": with_
         + MAILS
         + """ SELECT mail_id::VARCHAR AS mail_id, category, subject, body FROM mails

@@ -12,8 +12,10 @@ from mektup.config import Config
 from mektup.functions import scores
 from mektup.functions.text import METRIC_NAMES, strip_html
 from mektup.operators import bayes, blocks, curate, evaluate, messages, prepare, split, tfidf
+from mektup.plans import scoring, training
 from mektup.session import shared_dir, spread, written
 from mektup.sources import mails as mail_io
+from mektup.streaming.watch import first_seen, watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -427,6 +429,7 @@ def packed_envelopes(spark: SparkSession, folder: str) -> DataFrame:
     nothing = F.parse_json(F.lit(None).cast("string"))
     return spread(table(spark, folder, "documents").select("doc_id", "text")).select(
         F.col("doc_id").cast("string").alias("ID"),
+        F.lit(None).cast("timestamp").alias("Created"),
         F.parse_json(F.to_json(content)).alias("Content"),
         nothing.alias("Headers"),
         nothing.alias("Subject"),
@@ -494,3 +497,114 @@ def csv_round_trip(spark, folder):
     rows = mails(spark, folder).dropna()
     mail_io.write_mails(rows, path, "csv")
     return mail_io.read_mail_csv(spark, path).select("mail_id", "category", "subject", "body")
+
+
+@query
+def store_append(spark, folder):
+    """Open an empty store, append all mails twice, read back what is stored."""
+    path = fresh_dir(spark, "store")
+    store = mail_io.read_or_create_mails(spark, f"{path}/0")
+    rows = mails(spark, folder).select("category", "subject", "body", "mail_id")
+    once = written(curate.append_mails(store, rows), "store")
+    return curate.append_mails(once, rows).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query
+def stream_dedupe(spark, folder):
+    """All events arriving twice in a stream; each leaves once."""
+    source = table(spark, folder, "events")
+    stream = spark.readStream.schema(source.schema).parquet(f"{folder}/events.parquet*")
+    both = stream.unionByName(stream)
+    path = fresh_dir(spark, "stream")
+    running = (
+        first_seen(both, "event_id")
+        .select("event_id", "user_id", "event_type", "value")
+        .writeStream.format("parquet")
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(availableNow=True)
+        .start(f"{path}/out")
+    )
+    running.awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+# --- training and scoring --------------------------------------------------------------------
+
+
+def training_set(spark: SparkSession, folder: str) -> training.TrainingSet:
+    return training.build_training_set(mails(spark, folder))
+
+
+def trained(spark: SparkSession, folder: str, name: str) -> training.Trained:
+    return training.train_candidate(training_set(spark, folder), name)
+
+
+def report(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return evaluate.classification_report(trained(spark, folder, name).pairs)
+
+
+@query
+def train_report_nb(spark, folder):
+    return report(spark, folder, "Naive Bayes")
+
+
+@query
+def train_report_lr(spark, folder):
+    return report(spark, folder, "Logistic Regression")
+
+
+@query
+def train_report_svm(spark, folder):
+    return report(spark, folder, "Linear SVM")
+
+
+@query
+def train_report_gbt(spark, folder):
+    return report(spark, folder, "Boosted Trees")
+
+
+@query
+def feature_importance(spark, folder):
+    data = training_set(spark, folder)
+    stages = training.fit_logistic(data)
+    pipeline = training.PipelineModel(data.feature_stages + stages)
+    return training.feature_importance(
+        scoring.MailModel("Logistic Regression", data.labels, pipeline, data.config)
+    )
+
+
+@query
+def calibrated_probs(spark, folder):
+    predictions = trained(spark, folder, "Linear SVM").predictions
+    return predictions.select(
+        "mail_id", "prediction", F.explode("probabilities").alias("label", "probability")
+    )
+
+
+@query
+def score_mails(spark, folder):
+    """A saved and reloaded model applied to every mail, with fallback below 0.6."""
+    path = fresh_dir(spark, "artifact")
+    scoring.save_artifact(trained(spark, folder, "Naive Bayes").model, path)
+    scored = scoring.score(mails(spark, folder), scoring.load_artifact(spark, path), 0.6)
+    return scored.select(
+        "mail_id",
+        "prediction",
+        "confidence",
+        scores.confidence_band(F.col("confidence")).alias("band"),
+        F.col("top.label").alias("top_labels"),
+    )
+
+
+@query
+def stream_score(spark, folder):
+    """All documents landing as envelopes, scored once each by the streaming job."""
+    path = fresh_dir(spark, "watch")
+    packed_envelopes(spark, folder).drop("Created").write.json(f"{path}/landing")
+    model = trained(spark, folder, "Naive Bayes").model
+    watch(spark, f"{path}/landing", f"{path}/log", f"{path}/checkpoint", model, None).awaitTermination()
+    log = spark.read.schema(
+        "processed_at timestamp, mail_id string, subject string, body string, prediction string, "
+        "probabilities map<string, double>"
+    ).json(f"{path}/log")
+    return log.select("mail_id", "subject", "body", "prediction", "probabilities")
