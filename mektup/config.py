@@ -143,6 +143,7 @@ class Config:
     seed: int = 42
     nb_alpha: float = 0.1
     lr_iterations: int = 300
+    tolerance: float = 1e-4
     svm_iterations: int = 1000
     calibration_folds: int = 3
     gbt_rounds: int = 50

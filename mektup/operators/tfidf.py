@@ -8,14 +8,14 @@ row's n-grams into term counts, and one vectorised Arrow step weighs a whole bat
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mektup.config import Config
@@ -109,6 +109,7 @@ class TfidfModel:
     config: Config
     terms: dict[str, list[str]]
     idf: dict[str, np.ndarray]
+    _counters: dict = field(default_factory=dict, repr=False, compare=False)
 
     @property
     def size(self) -> int:
@@ -133,29 +134,49 @@ class TfidfModel:
             raise ValueError("no terms remain after the document-frequency cuts")
         return TfidfModel(config, terms, idf)
 
+    def counter(self, kind: str) -> tuple[CountVectorizerModel, np.ndarray]:
+        """Spark's term counter for one block, and the feature index of each of its positions.
+
+        The counter is fitted on the vocabulary itself, which hands the terms over in one piece; it
+        numbers them in its own order.
+        """
+        if kind not in self._counters:
+            terms = self.terms[kind]
+            one_row = SparkSession.active().createDataFrame([(terms,)], f"_grams_{kind} array<string>")
+            model = CountVectorizer(
+                inputCol=f"_grams_{kind}", outputCol=f"_counts_{kind}", vocabSize=len(terms)
+            ).fit(one_row)
+            index = {term: i for i, term in enumerate(terms)}
+            self._counters[kind] = model, np.array([index[t] for t in model.vocabulary])
+        return self._counters[kind]
+
     def vectors(self, rows: DataFrame, text: str = "text_clean", output: str = "tfidf") -> DataFrame:
         """Add the sparse TF-IDF vector of every row; each block has unit length."""
-        out, temporary = rows, []
-        for kind, terms in self.terms.items():
-            tokens, counts = f"_grams_{kind}", f"_counts_{kind}"
-            counter = CountVectorizerModel.from_vocabulary(terms, inputCol=tokens, outputCol=counts)
-            out = counter.transform(
-                out.withColumn(tokens, grams(kind, F.coalesce(text, F.lit("")), self.config))
-            ).drop(tokens)
-            temporary.append(counts)
-        weigh = _weigher([self.idf[k] for k in self.terms], self.config.sublinear_tf)
-        return out.withColumn(output, weigh(*[F.unwrap_udt(c) for c in temporary])).drop(*temporary)
-
-
-def _ragged(structs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row lengths, flat indices and flat values of sparse vectors."""
-    indices, values = structs.field("indices"), structs.field("values")
-    lengths = pc.fill_null(pc.list_value_length(indices), 0).to_numpy(zero_copy_only=False)
-    return (
-        lengths.astype(np.int64),
-        indices.flatten().to_numpy(zero_copy_only=False),
-        values.flatten().to_numpy(zero_copy_only=False),
-    )
+        out, counts, blocks, start = rows, [], [], 0
+        for kind, idf in self.idf.items():
+            model, order = self.counter(kind)
+            tokens = grams(kind, F.coalesce(text, F.lit("")), self.config)
+            out = model.transform(out.withColumn(f"_grams_{kind}", tokens)).drop(f"_grams_{kind}")
+            counts.append(f"_counts_{kind}")
+            blocks.append((order + start, idf[order]))
+            start += len(idf)
+        weigh = _weigher(blocks, self.size, self.config.sublinear_tf)
+        return out.withColumn(output, weigh(*[F.unwrap_udt(c) for c in counts])).drop(*counts)
+
+
+def ragged(structs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row lengths, flat indices and flat values of a batch of vectors, dense ones included."""
+    lists = structs.field("values")
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = lists.flatten().to_numpy(zero_copy_only=False)
+    indices = structs.field("indices").flatten().to_numpy(zero_copy_only=False)
+    dense = structs.field("type").to_numpy(zero_copy_only=False) == 1
+    if dense.any():
+        # A dense vector lists no indices: they are the positions.
+        spread = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        spread[~np.repeat(dense, lengths)] = indices
+        indices = spread
+    return lengths, indices, values
 
 
 def sparse_array(lengths: np.ndarray, indices: np.ndarray, values: np.ndarray, size: int) -> pa.Array:
@@ -173,25 +194,27 @@ def sparse_array(lengths: np.ndarray, indices: np.ndarray, values: np.ndarray, s
     )
 
 
-def _weigher(idf: list[np.ndarray], sublinear: bool):
-    size = sum(len(i) for i in idf)
+def _weigher(blocks: list[tuple[np.ndarray, np.ndarray]], size: int, sublinear: bool):
+    """Arrow function: term counts per block → weighted sparse vector.
+
+    A block holds the feature index and the idf of each counter position.
+    """
 
     @F.arrow_udf(returnType=VectorUDT())
-    def weigh(*blocks: pa.Array) -> pa.Array:
-        parts, shift = [], 0
-        for block, weights in zip(blocks, idf):
-            lengths, indices, counts = _ragged(block)
-            w = (1.0 + np.log(counts) if sublinear else counts) * weights[indices]
+    def weigh(*counted: pa.Array) -> pa.Array:
+        rows, features, weights = [], [], []
+        for counts_of, (index, idf) in zip(counted, blocks):
+            lengths, positions, counts = ragged(counts_of)
+            w = (1.0 + np.log(counts) if sublinear else counts) * idf[positions]
             row = np.repeat(np.arange(len(lengths)), lengths)
             norm = np.sqrt(np.bincount(row, weights=w * w, minlength=len(lengths)))
-            parts.append((row, indices + shift, w / norm[row]))
-            shift += len(weights)
-        row = np.concatenate([p[0] for p in parts])
-        order = np.argsort(row, kind="stable")
-        indices = np.concatenate([p[1] for p in parts])[order]
-        values = np.concatenate([p[2] for p in parts])[order]
-        lengths = np.bincount(row, minlength=len(blocks[0]))
-        return sparse_array(lengths, indices, values, size)
+            rows.append(row)
+            features.append(index[positions])
+            weights.append(w / norm[row])
+        row, feature = np.concatenate(rows), np.concatenate(features)
+        order = np.lexsort((feature, row))
+        lengths = np.bincount(row, minlength=len(counted[0]))
+        return sparse_array(lengths, feature[order], np.concatenate(weights)[order], size)
 
     return weigh
 

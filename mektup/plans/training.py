@@ -4,26 +4,26 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
-    LinearSVC,
     LogisticRegression,
     NaiveBayes,
     OneVsRest,
 )
-from pyspark.ml.feature import StringIndexerModel, UnivariateFeatureSelector, VectorAssembler
+from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mektup.config import Config
+from mektup.functions.text import METRIC_NAMES
 from mektup.operators import evaluate, prepare
-from mektup.operators.split import stratified_folds, stratified_split
+from mektup.operators.split import split_with_folds
 from mektup.plans.calibration import fit_sigmoids
+from mektup.plans.margin import Problems, fit_machines
 from mektup.plans.scoring import MailModel, with_prediction
 from mektup.plans.stages import (
     CalibratedLinearModel,
@@ -37,6 +37,9 @@ from mektup.plans.stages import (
 from mektup.session import written
 
 
+ROWS_PER_PARTITION = 10_000
+
+
 @dataclass
 class TrainingSet:
     """Written feature table (mail_id, category, label, split, fold, tfidf, metrics) and its makers."""
@@ -49,7 +52,13 @@ class TrainingSet:
 
     @property
     def train(self) -> DataFrame:
-        return self.table.filter(F.col("split") == "train").drop("split")
+        """Training rows, in no more partitions than their number is worth.
+
+        Every optimiser step merges one dense gradient per partition, so small tables are packed.
+        """
+        rows = self.table.filter(F.col("split") == "train").drop("split")
+        worth = sum(self.counts.values()) // ROWS_PER_PARTITION + 1
+        return rows.coalesce(worth) if worth < rows.rdd.getNumPartitions() else rows
 
     @property
     def test(self) -> DataFrame:
@@ -79,31 +88,30 @@ def build_training_set(mails: DataFrame, config: Config = Config()) -> TrainingS
     model fit then read those tables. Vocabulary and scaling see training rows only.
     """
     clean = prepare.clean_mails(mails, config).select("mail_id", "category", "text_raw", "text_clean")
-    clean = written(clean, "clean")
-    both = stratified_split(clean, config.test_share, config.seed)
-    split = written(prepare.with_metrics(both), "split")
+    split = split_with_folds(
+        written(clean, "clean"), config.test_share, config.calibration_folds, config.seed
+    )
     train = split.filter(F.col("split") == "train")
-    labels = sorted(r[0] for r in split.select("category").distinct().collect())
+    sizes = train.groupBy("category", "fold").agg(F.count("*").alias("n")).collect()
+    labels = sorted({r["category"] for r in sizes})
     tfidf = DualTfidf(config).fit(train)
-    scaler = PopulationScaler().fit(train)
-    indexer = StringIndexerModel.from_labels(labels, inputCol="category", outputCol="label")
-    vectors = indexer.transform(scaler.transform(tfidf.transform(split))).select(
-        "mail_id", "category", "label", "split", "tfidf", "metrics"
-    )
-    # Folds are drawn over all rows but used on the training side only.
-    folded = stratified_folds(vectors, config.calibration_folds, config.seed + 1)
-    table = written(folded, "features")
-    counts = {
-        (int(r["label"]), r["fold"]): r["n"]
-        for r in table.filter(F.col("split") == "train")
-        .groupBy("label", "fold")
-        .agg(F.count("*").alias("n"))
-        .collect()
-    }
+    scaler = PopulationScaler().fit(prepare.with_metrics(train))
     stages = [TextCleaner(config), TextMetrics(), tfidf, scaler]
+    vectors = PipelineModel(stages[1:]).transform(split.select("*", label_number(labels)))
+    table = written(
+        vectors.select("mail_id", "category", "label", "split", "fold", "tfidf", "metrics"), "features"
+    )
+    counts = {(labels.index(r["category"]), r["fold"]): r["n"] for r in sizes}
     return TrainingSet(table, labels, stages, config, counts)
 
 
+def label_number(labels: list[str]):
+    """Position of ``category`` in ``labels``, null for others, marked as nominal for the learners."""
+    position = F.array_position(F.array(*[F.lit(label) for label in labels]), F.col("category"))
+    number = (F.nullif(position, F.lit(0)) - 1).cast("double")
+    return number.alias("label", metadata={"ml_attr": {"type": "nominal", "vals": labels, "name": "label"}})
+
+
 def balanced(counts: Sequence[int]) -> list[float]:
     """Class weights rows / (classes × rows of the class)."""
     present = [c for c in counts if c]
@@ -130,6 +138,7 @@ def fit_logistic(data: TrainingSet) -> list[Transformer]:
         weightCol="weight",
         family="multinomial",
         maxIter=data.config.lr_iterations,
+        tol=data.config.tolerance,
         regParam=1.0 / sum(counts),
         elasticNetParam=0.0,
         standardization=False,
@@ -141,52 +150,42 @@ def fit_logistic(data: TrainingSet) -> list[Transformer]:
 def fit_svm(data: TrainingSet) -> list[Transformer]:
     """Linear one-vs-rest machines per fold, each calibrated on the rows it has not seen.
 
-    Positive rows carry the balanced weight of their class, the rest weigh one. The fits are
-    independent and run side by side.
+    Positive rows carry the balanced weight of their class, the rest weigh one.
     """
     config, classes = data.config, len(data.labels)
-    rows = assembler().transform(data.train).select("label", "fold", "features")
-
-    def fit_one(job: tuple[int, int]) -> dict:
-        fold, label = job
-        counts = data.label_counts(without_fold=fold)
-        weight = balanced(counts)[label]
-        total = weight * counts[label] + sum(counts) - counts[label]
-        is_label = F.col("label") == label
-        machine = LinearSVC(
-            labelCol="is_label",
-            weightCol="weight",
-            maxIter=config.svm_iterations,
-            regParam=1.0 / total,
-            standardization=False,
-        ).fit(
-            rows.filter(F.col("fold") != fold).select(
-                "features",
-                is_label.cast("double").alias("is_label"),
-                F.when(is_label, F.lit(float(weight))).otherwise(1.0).alias("weight"),
-            )
-        )
-        return {
-            "fold": fold,
-            "label": label,
-            "coefficients": machine.coefficients.toArray().tolist(),
-            "intercept": machine.intercept,
-        }
-
+    rows = assembler().transform(data.train).select(
+        F.col("label").cast("int").alias("label"), "fold", "features"
+    )
     jobs = [(f, k) for f in range(config.calibration_folds) for k in range(classes)]
-    with ThreadPoolExecutor(config.fit_parallelism) as pool:
-        parts = sorted(pool.map(fit_one, jobs), key=lambda p: (p["fold"], p["label"]))
-    decide = linear_scores(
-        np.array([p["coefficients"] for p in parts]).T, np.array([p["intercept"] for p in parts])
+    counts = [data.label_counts(without_fold=f) for f, _ in jobs]
+    problems = Problems(
+        fold=np.array([f for f, _ in jobs]),
+        label=np.array([k for _, k in jobs]),
+        weight=np.array([balanced(c)[k] for c, (_, k) in zip(counts, jobs)]),
+        smaller_side=np.array(
+            [max(min(c[k], sum(c) - c[k]), 1) / sum(c) for c, (_, k) in zip(counts, jobs)]
+        ),
     )
+    width = data.tfidf.fitted.size + len(METRIC_NAMES)
+    weights = fit_machines(rows, problems, width, config.svm_iterations, config.tolerance)
+    decide = linear_scores(weights[:, :-1].T, weights[:, -1])
     held_out = rows.select(
         "fold",
-        F.col("label").cast("int").alias("label"),
+        "label",
         F.slice(decide(F.unwrap_udt("features")), F.col("fold") * classes + 1, F.lit(classes)).alias("scores"),
     )
     sigmoids = fit_sigmoids(written(held_out, "decisions"))
-    for part in parts:
-        part["slope"], part["offset"] = sigmoids[part["fold"], part["label"]]
+    parts = [
+        {
+            "fold": f,
+            "label": k,
+            "coefficients": w[:-1].tolist(),
+            "intercept": float(w[-1]),
+            "slope": sigmoids[f, k][0],
+            "offset": sigmoids[f, k][1],
+        }
+        for (f, k), w in zip(jobs, weights)
+    ]
     return [assembler(), CalibratedLinearModel(parts)]
 
 
