@@ -9,6 +9,7 @@ row's n-grams into term counts, and one vectorised Arrow step weighs a whole bat
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from mektup.config import Config
 from mektup.functions.ngrams import char_ngrams, word_ngrams
+from mektup.session import written
 
 KINDS = ("w", "c")
 
@@ -77,13 +79,16 @@ def vocabulary(
     stats = term_stats(rows, config, text).filter(
         (F.col("df") >= _as_count(config.min_df, n)) & (F.col("df") <= _as_count(config.max_df, n))
     )
-    by_frequency = Window.partitionBy("kind").orderBy(F.desc("cf"), "term")
-    cap = F.when(F.col("kind") == "w", config.word_features).otherwise(config.char_features)
-    # The constant bound lets Spark keep only the leading rows of each partition before it shuffles.
-    kept = (
-        stats.withColumn("_rank", F.row_number().over(by_frequency))
-        .filter(F.col("_rank") <= max(config.word_features, config.char_features))
-        .filter(F.col("_rank") <= cap)
+    # Counted once into a table; an ordered limit then keeps only the leading terms of every
+    # partition, where a ranking window would sort all terms of a kind in one task.
+    stats = written(stats, "terms")
+    caps = {"w": config.word_features, "c": config.char_features}
+    kept = reduce(
+        DataFrame.unionByName,
+        [
+            stats.filter(F.col("kind") == k).orderBy(F.desc("cf"), "term").limit(caps[k])
+            for k in kinds_of(config)
+        ],
     )
     # The vocabulary is capped, so one task can number it.
     in_order = Window.orderBy(F.desc("kind"), "term")
