@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mektup.functions.text import bind
-
 
 def word_tokens(clean: Column) -> Column:
     """Words of at least two characters."""
@@ -19,22 +17,15 @@ def word_tokens(clean: Column) -> Column:
 
 def word_ngrams(clean: Column, low: int = 1, high: int = 3) -> Column:
     """Runs of ``low`` to ``high`` consecutive words, joined by blanks."""
-
-    def runs(text: Column, n: int) -> Column:
-        run = "[^ ]+" + " [^ ]+" * (n - 1)
-        return F.regexp_extract_all(text, F.lit(f"(?<![^ ])(?=({run}))"), F.lit(1))
-
-    orders = range(low, high + 1)
-
-    def all_orders(tokens: Column) -> Column:
-        single = [tokens] if low == 1 else []
-        longer = [n for n in orders if n > 1]
-        if not longer:
-            return tokens
-        joined = F.array_join(tokens, " ")
-        return bind(joined, lambda text: F.concat(*single, *[runs(text, n) for n in longer]))
-
-    return bind(word_tokens(clean), all_orders)
+    words = F.array_join(word_tokens(clean), " ")
+    parts = []
+    for n in range(low, high + 1):
+        if n == 1:
+            parts.append(word_tokens(clean))
+        else:
+            run = "[^ ]+" + " [^ ]+" * (n - 1)
+            parts.append(F.regexp_extract_all(words, F.lit(f"(?<![^ ])(?=({run}))"), F.lit(1)))
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
 def _window(n: int, low: int) -> str:
@@ -50,8 +41,7 @@ def char_ngrams(clean: Column, low: int = 3, high: int = 5) -> Column:
         raise ValueError("character n-grams inside word bounds start at 3")
     tight = F.trim(F.regexp_replace(clean, " +", " "))
     padded = F.concat(F.lit(" "), F.replace(tight, F.lit(" "), F.lit("  ")), F.lit(" "))
-    windows = [_window(n, low) for n in range(low, high + 1)]
-    return bind(
-        padded,
-        lambda text: F.concat(*[F.regexp_extract_all(text, F.lit(w), F.lit(1)) for w in windows]),
-    )
+    parts = [
+        F.regexp_extract_all(padded, F.lit(_window(n, low)), F.lit(1)) for n in range(low, high + 1)
+    ]
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
