@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from mektup.llm.common import texts
 
@@ -38,34 +40,55 @@ class Costs:
 #: Text of which the quick way below knows letters, case and normal form: ASCII and Latin letters.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-įĴ-ľŁ-ňŊ-ž]*")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-įĵ-ľł-ňŋ-žß]+|[0-9]|[^\sa-z0-9à-öø-įĵ-ľł-ňŋ-žß]+")
-_KNOWN_WORDS = 400_000
+_KNOWN_WORDS = 1_000_000
 
 
 class Encoder:
     """Ids of texts by a tokenizer file whose pre-tokens are encoded one by one.
 
-    A text of plain Latin characters is split into pre-tokens here and each distinct pre-token is
-    encoded once (the memory of them is emptied when it grows too large). Any other text, and
-    one that holds a special token, goes through the tokenizer whole. Both give the same ids.
+    A text of plain Latin characters is split into pre-tokens here, and each distinct pre-token is
+    encoded once and its ids are looked up from then on (the memory of them is emptied when it
+    grows too large). Any other text, and one that holds a special token, goes through the
+    tokenizer whole. Both ways give the same ids.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.special = tuple(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
-        ends = re.compile(r"[^\w\s]*[.!?][^\w\s]*</w>")
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for word, i in vocabulary.items() if ends.fullmatch(word)]] = True
+        sentence = re.compile(r"[^\w\s]*[.!?][^\w\s]*</w>")
+        self.sentence_ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.sentence_ends[[i for word, i in vocabulary.items() if sentence.fullmatch(word)]] = True
+        self.word_ends = np.zeros(len(self.sentence_ends), dtype=bool)
+        self.word_ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        #: Ids of all known pre-tokens on end, and where each begins.
+        self.flat, self.begins, self.used = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 14, dtype=np.int64), 0
 
     def whole(self, found: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch(found, add_special_tokens=False)]
 
+    def learn(self, new: list[str]) -> None:
+        """Encode pre-tokens in one go: blanks keep them apart, and the last id of each ends a word."""
+        ids = np.array(self.whole([" ".join(new)])[0], dtype=np.int32)
+        ends = np.flatnonzero(self.word_ends[ids]) + 1
+        if len(ends) != len(new):
+            each = self.whole(new)
+            ids, ends = np.array([i for x in each for i in x], dtype=np.int32), np.cumsum([len(x) for x in each])
+        first, count = len(self.known), len(new)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while first + count + 1 > len(self.begins):
+            self.begins = np.concatenate([self.begins, np.zeros_like(self.begins)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.begins[first + 1 : first + count + 1] = self.used + ends
+        self.used += len(ids)
+        self.known.update(zip(new, range(first, first + count)))
+
     def ids(self, batch: list[str]) -> list[np.ndarray]:
         split, rest = {}, []
         for i, text in enumerate(batch):
@@ -73,15 +96,24 @@ class Encoder:
                 split[i] = _PIECE.findall(text.lower())
             else:
                 rest.append(i)
+        result = {i: np.array(x, dtype=np.int32) for i, x in zip(rest, self.whole([batch[i] for i in rest]))}
+        pieces = list(chain.from_iterable(split.values()))
         if len(self.known) > _KNOWN_WORDS:
-            self.known = {}
-        new = list(set().union(*split.values()).difference(self.known)) if split else []
-        self.known.update(zip(new, self.whole(new)))
-        result = dict(zip(rest, self.whole([batch[i] for i in rest])))
-        look = self.known.__getitem__
-        for i, pieces in split.items():
-            result[i] = list(chain.from_iterable(map(look, pieces)))
-        return [np.array(result[i], dtype=np.int64) for i in range(len(batch))]
+            self.forget()
+        words = np.fromiter(map(self.known.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
+        missing = np.flatnonzero(words < 0).tolist()
+        if missing:
+            self.learn(list(dict.fromkeys(pieces[k] for k in missing)))
+            words[missing] = [self.known[pieces[k]] for k in missing]
+        lengths = self.begins[words + 1] - self.begins[words]
+        stops = np.cumsum(lengths)
+        ids = self.flat[np.repeat(self.begins[words] - (stops - lengths), lengths) + np.arange(lengths.sum())]
+        at = np.concatenate([[0], stops])
+        done = 0
+        for i, found in split.items():
+            result[i] = ids[at[done] : at[done + len(found)]]
+            done += len(found)
+        return [result[i] for i in range(len(batch))]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -223,7 +255,7 @@ def pack(docs: DataFrame, tokenizer: str, costs: Costs = Costs(), id_col: str =
         coder = encoder(tokenizer)
 
         def rows() -> Iterator[tuple]:
-            packer = Packer(TaskContext.get().partitionId(), coder.ends, costs)
+            packer = Packer(TaskContext.get().partitionId(), coder.sentence_ends, costs)
             for batch in batches:
                 ids, text = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 for at in range(0, len(ids), 256):

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mektup.llm import chat, exact_dedup, packing, sharding
-from mektup.llm.common import table
+from mektup.llm import chat, decontaminate, exact_dedup, langid, packing, quality, sharding, toxicity
+from mektup.llm.common import fold, table
+from mektup.session import written
 
 TOKENIZER = "word_bpe_49k.json"
+QUALITY_CUT, TOXIC_CUT = 0.3, 0.7
 
 
 def tokenizer_path() -> str:
@@ -19,6 +21,52 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def labels_outside(spark: SparkSession, folder: str, column: str, modulus: int, held: int) -> DataFrame:
+    """Labels (doc_id, label) of the documents that a model may learn from."""
+    return (
+        table(spark, folder, "labels")
+        .where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), modulus) != held))
+        .select("doc_id", F.col(column).alias("label"))
+    )
+
+
+def quality_scores(spark: SparkSession, folder: str, docs: DataFrame) -> DataFrame:
+    """doc_id and score of ``docs``, learnt from the labelled ones among them."""
+    measured = written(quality.statistics(docs), "quality-statistics")
+    return quality.score(measured, quality.fit(measured, labels_outside(spark, folder, "quality", 5, 0)))
+
+
+def rule_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(spark, folder, table(spark, folder, "documents")).select(
+        "doc_id",
+        (fold(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"),
+    )
+
+
+def leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def toxic(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, labels_outside(spark, folder, "toxic", 3, 1))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        (fold(F.col("doc_id"), 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC_CUT).cast("int").alias("predicted"),
+    )
+
+
 def pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path())
 
@@ -65,8 +113,12 @@ def shard(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_rule_quality": rule_quality,
     "op3_packing": pack,
     "op4_exact_dedup": exact,
+    "op5_decontaminate": leaks,
     "op6_chat_format": chat_format,
+    "op7_language": language,
+    "op8_toxicity": toxic,
     "op9_sharding": shard,
 }
