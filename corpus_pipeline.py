@@ -3,27 +3,58 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mektup.llm import exact_dedup, packing
-from mektup.llm.queries import tokenizer_path
+from mektup.llm import decontaminate, exact_dedup, jaccard, packing
+from mektup.llm.common import small_first, table
+from mektup.llm.queries import QUALITY_CUT, quality_scores, tokenizer_path
+from mektup.session import written
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble scores at `QUALITY_CUT` or above; rows without an id stay."""
+    low = quality_scores(spark, sf_dir, docs).where(F.col("score") < QUALITY_CUT).select(F.col("doc_id").alias("_low"))
+    gone = written(low.where(F.col("_low").isNotNull()).distinct(), "rejected")
+    return small_first(docs, gone, docs["doc_id"] == gone["_low"], "left_anti")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text, that with the least id."""
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies, that with the least id."""
+    return jaccard.keep_one(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the token sequences."""
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("exact dedup", drop_exact_copies), ("packing", pack_sequences)]
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("packing", pack_sequences),
+]
 
 #: SQL cannot express the classifier, the similarity join and the packing.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages on the documents of a folder; what a stage returns is written and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES, start=1):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES):
+            docs = written(docs, f"stage-{number}")
     return docs

@@ -42,3 +42,12 @@ def bounded_sample(rows: DataFrame, key: str, limit: int, strata: str) -> DataFr
         share = F.when(F.col(strata) == F.lit(size[0]), F.lit(min(1.0, limit / size[1]))).otherwise(share)
     place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.where(F.col(strata).isNotNull() & (place < share))
+
+
+#: Ids that a join may broadcast at most; a table beyond this is joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def small_first(rows: DataFrame, ids: DataFrame, condition: Column | str, how: str) -> DataFrame:
+    """Join to a written table of narrow rows, which is broadcast only after its rows were counted."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, condition, how)

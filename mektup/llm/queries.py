@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mektup.llm import chat, decontaminate, exact_dedup, langid, packing, quality, sharding, toxicity
+from mektup.llm import chat, decontaminate, exact_dedup, jaccard, langid, packing, quality, sharding, toxicity
 from mektup.llm.common import fold, table
 from mektup.session import written
 
@@ -112,6 +112,10 @@ def shard(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def near(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.classes(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rule_quality": rule_quality,
     "op3_packing": pack,
@@ -121,4 +125,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language": language,
     "op8_toxicity": toxic,
     "op9_sharding": shard,
+    "op10_jaccard_join": near,
 }
