@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mektup.llm import chat, decontaminate, exact_dedup, jaccard, langid, packing, quality, sharding, toxicity
+from mektup.llm import chat, decontaminate, exact_dedup, jaccard, langid, packing, pii, quality, sharding, toxicity
 from mektup.llm.common import fold, table
 from mektup.session import written
 
@@ -21,6 +21,31 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def personal(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and a digest of the base spans, and all spans as text."""
+    docs = table(spark, folder, "documents")
+    order = F.create_map(*[F.lit(x) for k, kind in enumerate(pii.KINDS) for x in (kind, k)])
+    spans = F.array_sort(
+        F.transform(
+            F.concat("base", "added"), lambda x: F.struct(order[x["kind"]].alias("order"), *[x[c].alias(c) for c in ("start", "kind", "end")])
+        )
+    )
+
+    def told(found: Column) -> Column:
+        return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return pii.find(docs, pii.fit(docs)).select(
+        "doc_id",
+        *map(count, pii.KINDS),
+        F.sha2(told(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        told(spans).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
+
+
 def labels_outside(spark: SparkSession, folder: str, column: str, modulus: int, held: int) -> DataFrame:
     """Labels (doc_id, label) of the documents that a model may learn from."""
     return (
@@ -117,6 +142,7 @@ def near(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": personal,
     "op2_rule_quality": rule_quality,
     "op3_packing": pack,
     "op4_exact_dedup": exact,
