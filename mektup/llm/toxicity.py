@@ -17,13 +17,13 @@ from mektup.llm.ngrams import codes, hashed
 @dataclass(frozen=True)
 class Settings:
     sizes: tuple[int, ...] = (3, 4, 5)
-    bits: int = 17
+    bits: int = 19
     #: N-grams in fewer labelled texts are not features.
     min_texts: int = 5
     #: At most about so many labelled rows of each class fit the weights; the counts take all.
     fit_rows: int = 1500
-    l1: float = 5e-4
-    rounds: int = 12
+    l1: float = 1e-3
+    rounds: int = 6
     steps: int = 30
     smoothing: float = 1.0
 
@@ -52,10 +52,12 @@ def _present(text: str, s: Settings, flags: np.ndarray) -> np.ndarray:
 
 
 def ratios(positive: np.ndarray, negative: np.ndarray, s: Settings) -> np.ndarray:
-    """Log of the ratio of an n-gram's smoothed share among class 1 texts and class 0 texts; 0 for rare ones."""
-    p, q = positive + s.smoothing, negative + s.smoothing
-    r = np.log(p / p.sum()) - np.log(q / q.sum())
-    return np.where(positive + negative >= s.min_texts, r, 0.0)
+    """Log of the ratio of an n-gram's smoothed shares in class 1 and class 0; 0 for n-grams of too few texts."""
+    often = positive + negative >= s.min_texts
+    p, q = (positive + s.smoothing) * often, (negative + s.smoothing) * often
+    r = np.zeros(len(p))
+    r[often] = np.log(p[often] / p.sum()) - np.log(q[often] / q.sum())
+    return r
 
 
 def fit_weights(rows: list[np.ndarray], labels: np.ndarray, r: np.ndarray, s: Settings) -> tuple[np.ndarray, float]:
@@ -65,47 +67,60 @@ def fit_weights(rows: list[np.ndarray], labels: np.ndarray, r: np.ndarray, s: Se
     penalty; after each round the gradient of all n-grams is looked at again.
     """
     share = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
-    width = len(r)
-    w, b = np.zeros(width), 0.0
-    index = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    keep = r[index] != 0
-    index, row = index[keep], row[keep]
-
-    def margins(index: np.ndarray, row: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
-        return np.bincount(row, weights=w[index] * r[index], minlength=len(labels)) + b
-
+    sign = np.where(labels == 1, 1.0, -1.0)
+    grams = np.unique(np.concatenate(rows)) if rows else np.zeros(0, dtype=np.int32)
+    grams = grams[r[grams] != 0]
+    place = np.full(len(r), -1, dtype=np.int32)
+    place[grams] = np.arange(len(grams))
+    column = place[np.concatenate(rows)] if rows else place[:0]
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in rows])
+    column, row = column[column >= 0], row[column >= 0]
+    scale = r[grams]
+    w, b = np.zeros(len(grams)), 0.0
+
+    def loss(m: np.ndarray) -> float:
+        return float((share * np.logaddexp(0, -sign * m)).sum())
+
+    def slope(m: np.ndarray) -> np.ndarray:
+        return share * (1 / (1 + np.exp(-m)) - labels)
+
+    margin = np.zeros(len(labels))
     for _ in range(s.rounds):
-        residual = share * (1 / (1 + np.exp(-margins(index, row, w, b))) - labels)
-        gradient = np.bincount(index, weights=residual[row], minlength=width) * r
-        active = (w != 0) | (np.abs(gradient) > s.l1)
-        if not active.any():
-            break
-        used = active[index]
-        ai, ar = index[used], row[used]
-        squares = np.bincount(ar, weights=r[ai] ** 2, minlength=len(labels)) + 1
+        gradient = np.bincount(column, weights=slope(margin)[row], minlength=len(grams)) * scale
+        active = np.flatnonzero((w != 0) | (np.abs(gradient) > s.l1))
+        number = np.full(len(grams), -1, dtype=np.int32)
+        number[active] = np.arange(len(active))
+        used = number[column]
+        ac, ar = used[used >= 0], row[used >= 0]
+        values = scale[active][ac]
+
+        def margins(v: np.ndarray, b: float) -> np.ndarray:
+            return np.bincount(ar, weights=v[ac] * values, minlength=len(labels)) + b
+
+        squares = np.bincount(ar, weights=values**2, minlength=len(labels)) + 1
         bound = max(0.25 * float((share * squares).sum()) / 16, 1e-9)
-        z, zb, t = w.copy(), b, 1.0
+        v = w[active]
+        z, zb, t = v, b, 1.0
         for _ in range(s.steps):
-            m = margins(ai, ar, z, zb)
-            value = float((share * np.logaddexp(0, np.where(labels == 1, -m, m))).sum())
-            g = share * (1 / (1 + np.exp(-m)) - labels)
-            gw = np.bincount(ai, weights=g[ar], minlength=width) * r * active
-            gb = float(g.sum())
+            m = margins(z, zb)
+            value, g = loss(m), slope(m)
+            gv, gb = np.bincount(ac, weights=g[ar] * values, minlength=len(active)), float(g.sum())
             while True:
-                moved = z - gw / bound
+                moved = z - gv / bound
                 new = np.sign(moved) * np.maximum(0, np.abs(moved) - s.l1 / bound)
                 new_b = zb - gb / bound
-                m = margins(ai, ar, new, new_b)
-                step = new - z
-                model = value + gw @ step + gb * (new_b - zb) + bound / 2 * (step @ step + (new_b - zb) ** 2)
-                if float((share * np.logaddexp(0, np.where(labels == 1, -m, m))).sum()) <= model + 1e-12:
+                margin = margins(new, new_b)
+                step, step_b = new - z, new_b - zb
+                if loss(margin) <= value + gv @ step + gb * step_b + bound / 2 * (step @ step + step_b**2) + 1e-12:
                     break
                 bound *= 2
             nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-            z, zb = new + (t - 1) / nt * (new - w), new_b + (t - 1) / nt * (new_b - b)
-            w, b, t = new, new_b, nt
-    return w, b
+            z, zb = new + (t - 1) / nt * (new - v), new_b + (t - 1) / nt * (new_b - b)
+            v, b, t = new, new_b, nt
+        w[active] = v
+    weights = np.zeros(len(r))
+    weights[grams] = w
+    return weights, b
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -141,6 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: st
         .mapInArrow(count, "gram int, positive long, negative long")
         .groupBy("gram")
         .agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
+        .where(F.col("positive") + F.col("negative") >= s.min_texts)
         .toPandas()
     )
     positive, negative = np.zeros(width), np.zeros(width)
