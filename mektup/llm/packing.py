@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -12,6 +13,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
@@ -40,7 +42,36 @@ class Costs:
 #: Text of which the quick way below knows letters, case and normal form: ASCII and Latin letters.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-įĴ-ľŁ-ňŊ-ž]*")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-įĵ-ľł-ňŋ-žß]+|[0-9]|[^\sa-z0-9à-öø-įĵ-ľł-ňŋ-žß]+")
-_KNOWN_WORDS = 1_000_000
+_KNOWN_WORDS = 400_000
+
+
+#: Stands for the end of a pre-token where bytes are merged; no plain text has it.
+_STOP = "\x01"
+
+
+def merger(path: str) -> tiktoken.Encoding | None:
+    """The byte-pair merges of a tokenizer file for pre-tokens that end in `_STOP`, ids one higher than the file's.
+
+    Merging by rank gives the file's ids if these rise in the order of its merges and the file
+    marks word ends with a suffix; for another kind of file there is no merger.
+    """
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    vocabulary, suffix = model["vocab"], model.get("end_of_word_suffix")
+    pairs = [x.split(" ") if isinstance(x, str) else x for x in model.get("merges", [])]
+    order = [vocabulary.get("".join(x), -1) for x in pairs]
+    if suffix != "</w>" or len(set(order)) < len(order) or order != sorted(order):
+        return None
+    # A byte is written as its Latin-1 character where that is visible, else as one from 256 on.
+    visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    byte_of = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
+    ranks = {}
+    for word, i in vocabulary.items():
+        body, end = (word[: -len(suffix)], _STOP.encode()) if word.endswith(suffix) else (word, b"")
+        if all(c in byte_of for c in body) and body:
+            ranks.setdefault(bytes(byte_of[c] for c in body) + end, i + 1)
+    return tiktoken.Encoding("pre-tokens", pat_str=r"[^\x01]*\x01", mergeable_ranks=ranks, special_tokens={})
 
 
 class Encoder:
@@ -62,6 +93,7 @@ class Encoder:
         self.sentence_ends[[i for word, i in vocabulary.items() if sentence.fullmatch(word)]] = True
         self.word_ends = np.zeros(len(self.sentence_ends), dtype=bool)
         self.word_ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.merger = merger(path)
         self.forget()
 
     def forget(self) -> None:
@@ -73,8 +105,11 @@ class Encoder:
         return [x.ids for x in self.tokenizer.encode_batch(found, add_special_tokens=False)]
 
     def learn(self, new: list[str]) -> None:
-        """Encode pre-tokens in one go: blanks keep them apart, and the last id of each ends a word."""
-        ids = np.array(self.whole([" ".join(new)])[0], dtype=np.int32)
+        """Encode pre-tokens in one go; the last id of each ends a word."""
+        if self.merger:
+            ids = np.array(self.merger.encode_ordinary(_STOP.join(new) + _STOP), dtype=np.int32) - 1
+        else:
+            ids = np.array(self.whole([" ".join(new)])[0], dtype=np.int32)
         ends = np.flatnonzero(self.word_ends[ids]) + 1
         if len(ends) != len(new):
             each = self.whole(new)

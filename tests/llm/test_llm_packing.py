@@ -98,3 +98,14 @@ def test_power_sizes():
     assert packing.power_sizes(4096, costs) == [4096]
     assert packing.power_sizes(4090, costs) == [4090]
     assert packing.power_sizes(1536, costs) == [1024, 512]
+
+
+def test_merger_gives_the_ids_of_the_tokenizer(tokenizer):
+    chance = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzàâçèéêëîïñóôöùûüßœž0123456789.,;:!?'*#%&$()-_"
+    pieces = ["".join(chance.choice(letters) for _ in range(chance.randint(1, 24))) for _ in range(20_000)]
+    coder = packing.Encoder(tokenizer_path())
+    assert coder.merger is not None
+    found = coder.ids(pieces)
+    want = tokenizer.encode_batch(pieces, add_special_tokens=False)
+    assert [x.tolist() for x in found] == [x.ids for x in want]
