@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mektup.llm.common import small_first, texts
+from mektup.llm.common import partitions, small_first, texts
 from mektup.llm.groups import Forest, components, grouped
 from mektup.session import written
 
@@ -140,10 +140,12 @@ def _candidates(kinds: DataFrame, s: Settings) -> DataFrame:
         F.sequence(F.lit(0), F.lit(s.trees - 1)),
         lambda t: F.xxhash64(t, F.substring(F.col("signature"), t * width + 1, F.lit(length * 4))),
     )
-    members = kinds.select("set", "signature", F.explode(labels).alias("bucket"))
+    members = kinds.select("set", F.explode(labels).alias("bucket"))
     sizes = members.groupBy("bucket").count().where("count > 1")
     sizes = sizes.select("bucket", F.ceil(F.col("count") / s.block_rows).cast("int").alias("blocks"))
-    dealt = _blocked(members, "bucket", sizes, F.col("set")).select("bucket", "i", "j", "set", "signature")
+    # Most labels meet no other: signatures join only after these are gone.
+    shared = _blocked(members, "bucket", sizes, F.col("set")).select("bucket", "i", "j", "set")
+    dealt = shared.join(kinds.select("set", "signature"), "set").select("bucket", "i", "j", "set", "signature")
     ordered = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +175,7 @@ def _similar(sets: list[np.ndarray], s: Settings) -> np.ndarray:
     keep = shared[index]
     row, index = row[keep], column[index[keep]]
     common = np.zeros((n, n), dtype=np.float64)
-    width = max(1, s.cells // n)
+    width = max(1, min(s.cells // n, int(shared.sum())))
     order = np.argsort(index, kind="stable")
     row, index = row[order], index[order]
     for low in range(0, int(shared.sum()), width):
@@ -187,7 +189,8 @@ def _similar(sets: list[np.ndarray], s: Settings) -> np.ndarray:
 
 def _verified(members: DataFrame, s: Settings) -> DataFrame:
     """set, peer and links: the documents each set is linked to in a pair of blocks, and one set of its class there."""
-    ordered = members.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "set")
+    # as many tasks as set, not fewer for few bytes: the work is in the comparisons
+    ordered = members.repartition(partitions(members.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, 3):
