@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mektup.config import CATEGORIES, CATEGORY_HINTS, CONFUSABLE_PAIRS, Config
-from mektup.functions.text import METRIC_NAMES
+from mektup.functions.text import METRIC_NAMES, lower_text
 from mektup.operators.prepare import keeps
 from mektup.session import lookup_join
 
@@ -136,26 +136,32 @@ def focus_confusable(needy: DataFrame, pairs: DataFrame) -> DataFrame:
     return flagged.filter(F.coalesce("_hit", F.lit(False)) | ~F.col("_any")).drop("_hit", "_any")
 
 
-def keyword_audit(mails: DataFrame, hints: DataFrame, at_least: int = 2) -> DataFrame:
+def keyword_audit(mails: DataFrame, hints: DataFrame, at_least: int = 2, turkish: bool = True) -> DataFrame:
     """Per mail: distinct wanted and unwanted phrases of its category found in the text.
 
+    Case is folded on both sides. A mail of a category without phrases has no rule and passes.
     The phrases travel as two arrays per category, so a mail stays one row and meets its
     category's phrases in a lookup join.
     """
     def phrases(kind: str):
-        return F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("phrase"))))
+        return F.array_sort(F.collect_set(F.when(F.col("kind") == kind, lower_text(F.col("phrase"), turkish))))
 
     per_category = hints.groupBy("category").agg(
         phrases("include").alias("_include"), phrases("avoid").alias("_avoid")
     )
-    text = F.lower(F.concat_ws(" ", "subject", "body"))
+    text = lower_text(F.concat_ws(" ", "subject", "body"), turkish)
     joined = lookup_join(
-        mails.withColumn("_text", text), per_category, "category", "inner", salt_from=F.xxhash64("mail_id")
+        mails.withColumn("_text", text), per_category, "category", "left", salt_from=F.xxhash64("mail_id")
     )
 
     def hits(column: str):
-        return F.size(F.filter(column, lambda p: F.col("_text").contains(p)))
+        return F.coalesce(F.size(F.filter(column, lambda p: F.col("_text").contains(p))), F.lit(0))
 
-    return joined.select(
-        "mail_id", "category", hits("_include").alias("include_hits"), hits("_avoid").alias("avoid_hits")
-    ).withColumn("passes", (F.col("include_hits") >= at_least) & (F.col("avoid_hits") == 0))
+    enough = F.col("_include").isNull() | (F.col("include_hits") >= at_least)
+    return (
+        joined.select(
+            "mail_id", "category", "_include", hits("_include").alias("include_hits"), hits("_avoid").alias("avoid_hits")
+        )
+        .withColumn("passes", enough & (F.col("avoid_hits") == 0))
+        .drop("_include")
+    )

@@ -242,14 +242,15 @@ keyed AS (
             ('de','include','der'),('de','include','und'),('de','avoid','ß'),('fr','include','le '),
             ('fr','include','de '),('fr','avoid','é'),('es','include','los'),('es','avoid','ñ')) AS h(category, kind, phrase)),
           hits AS (SELECT m.mail_id, m.category,
-            count(*) FILTER (kind = 'include' AND contains(lower(concat_ws(' ', subject, body)), phrase)) AS include_hits,
-            count(*) FILTER (kind = 'avoid' AND contains(lower(concat_ws(' ', subject, body)), phrase)) AS avoid_hits
-            FROM mails m JOIN hints h ON h.category = m.category GROUP BY ALL)
-          SELECT *, include_hits >= 2 AND avoid_hits = 0 AS passes FROM hits""",
+            count(*) FILTER (kind = 'include' AND contains(text, phrase)) AS include_hits,
+            count(*) FILTER (kind = 'avoid' AND contains(text, phrase)) AS avoid_hits, count(phrase) = 0 AS free
+            FROM (SELECT mail_id, category, replace(lower(translate(concat_ws(' ', subject, body), 'İI', 'iı')), 'i̇', 'i') AS text
+              FROM mails) m LEFT JOIN hints h ON h.category = m.category GROUP BY m.mail_id, m.category)
+          SELECT mail_id, category, include_hits, avoid_hits, (free OR include_hits >= 2) AND avoid_hits = 0 AS passes FROM hits""",
         "word_ngrams": with_
         + CLEAN
         + WORD_TERMS
-        + " SELECT term, sum(tf)::BIGINT AS cf, count(*) AS df FROM word_terms GROUP BY term HAVING count(*) > 1",
+        + " SELECT term, sum(tf)::BIGINT AS cf, count(*) AS df FROM word_terms GROUP BY term",
         "char_ngrams": with_
         + CLEAN
         + WORD_TERMS

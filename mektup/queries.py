@@ -156,7 +156,7 @@ def keyword_audit(spark, folder):
 @query
 def word_ngrams(spark, folder):
     stats = tfidf.term_stats(clean(spark, folder), WORDS_ONLY)
-    return stats.filter(F.col("df") > 1).select("term", "cf", "df")
+    return stats.select("term", "cf", "df")
 
 
 @query

@@ -119,6 +119,12 @@ def test_default_dimensions(spark):
     audit = {r["mail_id"]: r for r in curate.keyword_audit(mails, curate.hint_dim(spark)).collect()}
     assert (audit[1]["include_hits"], audit[1]["avoid_hits"], audit[1]["passes"]) == (3, 0, True)
     assert (audit[2]["include_hits"], audit[2]["avoid_hits"], audit[2]["passes"]) == (1, 2, False)
+    hints = spark.createDataFrame([("k", "include", "fırsat"), ("k", "include", "indirim")], "category string, kind string, phrase string")
+    loud = spark.createDataFrame(
+        [(1, "k", "FIRSAT", "İNDİRİM KUPONU"), (2, "other", "a", "b")], "mail_id long, category string, subject string, body string"
+    )
+    found = {tuple(r) for r in curate.keyword_audit(loud, hints).collect()}
+    assert found == {(1, "k", 2, 0, True), (2, "other", 0, 0, True)}
     assert curate.category_dim(spark).count() == 10
 
 
@@ -211,6 +217,10 @@ def test_decode_messages(spark, tmp_path):
         envelope("nobody", ["yalnız konu"], "", Raw={"Data": ""}),
         envelope("raw", ["m"], "", Raw={"Data": "ham veri"}),
         {"ID": "flat", "Subject": ["üstte"], "Body": "içeriksiz"},
+        {"ID": "hollow", "Content": {}, "Subject": ["konu"], "Body": "govde metni"},
+        {"ID": "late", "Subject": ["konu"], "Body": ""},
+        envelope("headers", ["m"], "--==1\r\nContent-Transfer-Encoding: base64\r\n" + "X-Line: 1\r\n" * 20_000 + "--==1--\r\n"),
+        envelope("nearly", ["m"], "A" * 120 + " - not base64 any more"),
         {"Content": {"Body": "kimliksiz"}},
     ]
     path = tmp_path / "in.json"
@@ -228,6 +238,10 @@ def test_decode_messages(spark, tmp_path):
     assert got["nosubject"] == ("", "gövde")
     assert got["raw"][1] == "ham veri"
     assert got["flat"] == ("üstte", "içeriksiz")
+    assert got["hollow"] == ("konu", "govde metni")
+    assert got["late"][0] == "konu" and '"ID":"late"' in got["late"][1] and "{" not in got["late"][1]
+    assert got["headers"][1].startswith("--==1") and got["headers"][1].count("X-Line") == 20_000
+    assert got["nearly"][1] == "A" * 120 + " - not base64 any more"
     assert len(got) == len(rows) - 1
 
 
