@@ -162,13 +162,23 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: st
     positive, negative = np.zeros(width), np.zeros(width)
     positive[counted["gram"]], negative[counted["gram"]] = counted["positive"], counted["negative"]
     r = ratios(positive, negative, s)
-    sample = bounded_sample(rows, "doc_id", s.fit_rows, "label").select("label", "text").mapInArrow(features, "label int, grams binary").collect()
-    sample.sort(key=lambda x: (x[0], bytes(x[1])))
-    y = np.array([x[0] for x in sample], dtype=float)
-    if not len(y) or y.min() == y.max():
+    held = docs.sparkSession.sparkContext.broadcast(r)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = [x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        sample.sort()
+        y = np.array([label for label, _ in sample], dtype=float)
+        if len(y) and y.min() < y.max():
+            w, b = fit_weights([np.frombuffer(x, dtype=np.int32) for _, x in sample], y, held.value, s)
+            found = (w * held.value).astype(np.float32).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([found], pa.binary()), pa.array([b], pa.float64())], ["weights", "constant"])
+
+    # The bounded sample meets in one task, where there is more room than in the driver.
+    sample = bounded_sample(rows, "doc_id", s.fit_rows, "label").select("label", "text").mapInArrow(features, "label int, grams binary")
+    fitted = sample.repartition(1).mapInArrow(weigh, "weights binary, constant double").collect()
+    if not fitted:
         return Model(s, np.zeros(width, dtype=np.float32), 0.0)
-    w, b = fit_weights([np.frombuffer(x[1], dtype=np.int32) for x in sample], y, r, s)
-    return Model(s, (w * r).astype(np.float32), b)
+    return Model(s, np.frombuffer(fitted[0]["weights"], dtype=np.float32), fitted[0]["constant"])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
