@@ -134,6 +134,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def tree_rules(debug: str) -> list[tuple[Condition, ...]]:
     """Every path from a root to an inner node or leaf of a forest's description, as a conjunction.
 
+    The description indents a root by four blanks and each level below by one more.
     Conditions on one statistic and side are merged into the tightest; equal rules appear once.
     """
     found: dict[tuple[Condition, ...], None] = {}
@@ -143,9 +144,7 @@ def tree_rules(debug: str) -> list[tuple[Condition, ...]]:
         if line.lstrip().startswith("Tree"):
             path = []
         elif match:
-            depth = (len(match[1]) - 4) // 2 if len(match[1]) >= 4 else 0
-            depth = max(0, min(depth, len(path)))
-            path = path[:depth] + [(STATISTICS[int(match[3])], match[4] == ">", float(match[5]))]
+            path = path[: len(match[1]) - 4] + [(STATISTICS[int(match[3])], match[4] == ">", float(match[5]))]
             tightest: dict[tuple[str, bool], float] = {}
             for name, above, threshold in path:
                 old = tightest.get((name, above))
