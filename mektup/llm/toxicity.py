@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mektup.llm.common import bounded_sample, texts
+from mektup.llm.common import bounded_sample, small_first, texts
 from mektup.llm.ngrams import codes, hashed
 
 
@@ -133,7 +133,10 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: st
     """
     width = 1 << s.bits
     known = labels.where(F.col("label").isin(0, 1)).select(F.col("doc_id").alias("doc_id"), F.col("label").cast("int").alias("label"))
-    rows = texts(docs, id_col, text_col).join(known, "doc_id").select("doc_id", "label", "text")
+    plain = texts(docs, id_col, text_col)
+    rows = small_first(plain, known, "doc_id", "inner").select("label", "text")
+    # Few rows by its setting, so the sample of labels is broadcast and texts stay where they are.
+    sampled = plain.join(F.broadcast(bounded_sample(known, "doc_id", s.fit_rows, "label")), "doc_id").select("label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags, sums = np.zeros(width, dtype=bool), np.zeros((2, width), dtype=np.int64)
@@ -152,8 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["label", "grams"])
 
     counted = (
-        rows.select("label", "text")
-        .mapInArrow(count, "gram int, positive long, negative long")
+        rows.mapInArrow(count, "gram int, positive long, negative long")
         .groupBy("gram")
         .agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
         .where(F.col("positive") + F.col("negative") >= s.min_texts)
@@ -174,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: st
             yield pa.RecordBatch.from_arrays([pa.array([found], pa.binary()), pa.array([b], pa.float64())], ["weights", "constant"])
 
     # The bounded sample meets in one task, where there is more room than in the driver.
-    sample = bounded_sample(rows, "doc_id", s.fit_rows, "label").select("label", "text").mapInArrow(features, "label int, grams binary")
+    sample = sampled.mapInArrow(features, "label int, grams binary")
     fitted = sample.repartition(1).mapInArrow(weigh, "weights binary, constant double").collect()
     if not fitted:
         return Model(s, np.zeros(width, dtype=np.float32), 0.0)
