@@ -33,11 +33,13 @@ def dedupe_keep_first(
 def append_mails(existing: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
     """Existing rows plus new ones, without repeats on subject and body; stored rows win.
 
-    ``order`` names a column that orders rows within each side; the row position is used without.
+    ``order`` names a column that orders rows within each side, so that a rerun keeps the same rows;
+    the row position is used without. A side that lacks the column, as a new store does, has no order.
     """
 
     def tagged(df: DataFrame, is_new: bool) -> DataFrame:
-        position = F.col(order) if order else F.monotonically_increasing_id()
+        named = F.col(order) if order in df.columns else F.lit(None)
+        position = named if order else F.monotonically_increasing_id()
         return df.withColumns({"_is_new": F.lit(is_new), "_position": position})
 
     both = tagged(existing, False).unionByName(tagged(new, True), allowMissingColumns=True)

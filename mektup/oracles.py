@@ -369,6 +369,13 @@ keyed AS (
         + ") <= 10) THEN to_base64(encode(text)) ELSE "
         + _TRIMMED.format("text")
         + " END AS body FROM documents",
+        "envelope_files": "SELECT doc_id AS mail_id, "
+        + _TRIMMED.format("split_part(text, chr(10), 1)")
+        + " AS subject, CASE WHEN doc_id % 4 = 1 AND (length(to_base64(encode(text))) <= 20 OR length("
+        + _TRIMMED.format("text")
+        + ") <= 10) THEN to_base64(encode(text)) ELSE "
+        + _TRIMMED.format("text")
+        + " END AS body FROM documents",
         "default_fill": with_
         + MAILS
         + """, blanked AS (SELECT mail_id, CASE WHEN mail_id % 3 = 0 THEN '' ELSE subject END AS subject,

@@ -15,6 +15,7 @@ from mektup.operators import bayes, blocks, curate, evaluate, messages, prepare,
 from mektup.plans import scoring, training
 from mektup.session import shared_dir, spread, written
 from mektup.sources import mails as mail_io
+from mektup.sources.envelopes import read_envelopes
 from mektup.streaming.watch import first_seen, watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -454,6 +455,26 @@ def decode_bodies(spark, folder):
     return decoded(spark, folder).select("mail_id", "body")
 
 
+@query
+def envelope_files(spark, folder):
+    """All documents as envelope files: content of its own, none, or an empty one beside the members."""
+    shape = F.col("ID").cast("long") % 3
+
+    def member(name: str, kind: str = "variant") -> Column:
+        return F.when(shape != 0, F.try_variant_get("Content", f"$.{name}", kind)).alias(name)
+
+    path = fresh_dir(spark, "envelopes")
+    packed_envelopes(spark, folder).select(
+        "ID",
+        F.when(shape == 0, F.col("Content")).when(shape == 2, F.parse_json(F.lit("{}"))).alias("Content"),
+        member("Headers"),
+        member("Body", "string"),
+        member("MIME"),
+    ).write.json(path)
+    rows = messages.decode_messages(read_envelopes(spark, path))
+    return rows.withColumn("mail_id", F.col("mail_id").cast("long"))
+
+
 @query
 def default_fill(spark, folder):
     rows = mails(spark, folder).select(
@@ -505,8 +526,8 @@ def store_append(spark, folder):
     path = fresh_dir(spark, "store")
     store = mail_io.read_or_create_mails(spark, f"{path}/0")
     rows = mails(spark, folder).select("category", "subject", "body", "mail_id")
-    once = written(curate.append_mails(store, rows), "store")
-    return curate.append_mails(once, rows).groupBy("category").agg(F.count("*").alias("n"))
+    once = written(curate.append_mails(store, rows, "mail_id"), "store")
+    return curate.append_mails(once, rows, "mail_id").groupBy("category").agg(F.count("*").alias("n"))
 
 
 @query
