@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mektup.llm.common import texts
+from mektup.llm.common import small_first, texts
+from mektup.session import written
 
 HITS = "doc_id long, item_id long, matched long, aligned long, doc_word long, item_word long"
 WORD = re.compile(r"\w+")
@@ -207,5 +208,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds()) ->
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     # an id of its own for each (id, text), so that rows that share an id are judged by their own text
     numbered = docs.select(F.xxhash64(F.col("doc_id"), key).alias("doc_id"), "text")
-    leaks = overlaps(numbered, benchmark, seeds).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.xxhash64(F.col("doc_id"), key) == F.col("_leak"), "left_anti")
+    leaks = written(overlaps(numbered, benchmark, seeds).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    return small_first(docs, leaks, F.xxhash64(F.col("doc_id"), key) == F.col("_leak"), "left_anti")
