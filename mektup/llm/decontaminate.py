@@ -97,6 +97,7 @@ class Index:
         for begin, found in zip(begins.tolist(), lists):
             ids[begin : begin + len(found)] = found
         known = ids >= 0
+        # (document of the hit, item, where in ids the item would begin); the last may lie documents before the first
         diagonals = set()
         for (length, mask), (hashes, numbers, places) in zip(self.masks, self.tables):
             if not len(hashes) or len(ids) < length:
@@ -114,24 +115,20 @@ class Index:
             counts = counts[hit]
             entry = np.repeat(low[hit] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
             start = np.repeat(starts[hit], counts)
-            diagonals.update(zip(numbers[entry].tolist(), (start - places[entry]).tolist()))
+            # words that count are known, so all of a hit's lie in the document of the first of them
+            doc = np.searchsorted(begins, start + mask[0], "right") - 1
+            diagonals.update(zip(doc.tolist(), numbers[entry].tolist(), (start - places[entry]).tolist()))
         best: dict[tuple[int, int], tuple] = {}
-        for number, diagonal in sorted(diagonals):
+        for d, number, diagonal in sorted(diagonals):
             ids_of_item = self.items[number][1]
-            # the middle of the overlap tells the document
-            inside = max(diagonal, 0)
-            doc = int(np.searchsorted(begins, inside, "right")) - 1
-            for d in (doc, doc + 1):  # the item may begin before the document does
-                if d < 0 or d >= len(docs):
-                    continue
-                begin, end = int(begins[d]), int(begins[d] + lengths[d])
-                low, high = max(diagonal, begin), min(diagonal + len(ids_of_item), end)
-                found = self._overlap(ids[low:high] == ids_of_item[low - diagonal : high - diagonal], len(ids_of_item)) if high > low else None
-                if found:
-                    matched, aligned, offset = found
-                    row = (matched, -aligned, -(low + offset - begin), aligned, low - diagonal + offset)
-                    if row > best.get((d, number), (0,)):
-                        best[d, number] = row
+            begin, end = int(begins[d]), int(begins[d] + lengths[d])
+            low, high = max(diagonal, begin), min(diagonal + len(ids_of_item), end)
+            found = self._overlap(ids[low:high] == ids_of_item[low - diagonal : high - diagonal], len(ids_of_item))
+            if found:
+                matched, aligned, offset = found
+                row = (matched, -aligned, -(low + offset - begin), aligned, low - diagonal + offset)
+                if row > best.get((d, number), (0,)):
+                    best[d, number] = row
         for (d, number), (matched, _, place, aligned, item_place) in best.items():
             yield doc_ids[d], self.items[number][0], matched, aligned, -place, item_place
 

@@ -66,3 +66,24 @@ def test_every_pair_of_substitutions_is_ignored_by_a_mask():
     for a in range(seeds.span):
         for b in range(seeds.span):
             assert any(a not in m and b not in m for m in seeds.masks())
+
+
+def test_tail_of_a_long_item_after_empty_and_short_documents():
+    chance = random.Random(11)
+    words = [f"w{k}" for k in range(56)]
+    index = d.Index([(7, " ".join(words))], d.Seeds())
+    for before in (["x " * 30, ""], ["", "", ""], ["x y", "", "z"], ["x " * 5] * 6, [" ".join(words[:20]), ""], []):
+        for first in (0, 1, 12, 30, 44):
+            docs = before + [" ".join(words[first:] + made(chance, 8)), "", "end"]
+            found = {(r[0], r[1]): r[2:] for r in index.search(list(range(len(docs))), docs)}
+            assert found.pop((len(before), 7)) == (56 - first, 56 - first, 0, first)
+            assert {k for k, _ in found} == {k for k, text in enumerate(before) if len(d.words(text)) == 20}
+
+
+def test_substituted_ends_of_a_fragment_at_the_edge_of_a_document():
+    words = [f"w{k}" for k in range(40)]
+    index = d.Index([(7, " ".join(words))], d.Seeds())
+    for at in range(12):
+        part = words[28:]
+        part[at] = "other"
+        assert [r[:3] for r in index.search([1, 2, 3], ["", " ".join(part), ""])] == [(2, 7, 11)]
