@@ -22,4 +22,27 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(piece)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op12_lexical_search": r"""
+WITH t AS (
+  SELECT row_number() OVER () AS row_id, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[0-9a-z\x{80}-\x{10FFFF}]+') AS terms FROM documents),
+l AS (SELECT row_id, doc_id, len(terms) AS n FROM t WHERE len(terms) > 0),
+s AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM l),
+i AS (
+  SELECT row_number() OVER () AS item, item_id,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark),
+q AS (SELECT item, item_id, term, count(*) AS qtf FROM i GROUP BY ALL),
+f AS (
+  SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(terms) AS term FROM t)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, s GROUP BY term),
+m AS (SELECT row_id, doc_id, 100 - 75 + ((75 * n * big_n) // big_l) AS m FROM l, s),
+r AS (
+  SELECT item, item_id, doc_id, sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (row_id) GROUP BY item, item_id, row_id, doc_id),
+k AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mektup.llm import chat, decontaminate, exact_dedup, jaccard, langid, packing, pii, quality, sharding, toxicity
+from mektup.llm import chat, decontaminate, exact_dedup, jaccard, langid, lexical, packing, pii, quality, sharding, toxicity
 from mektup.llm.common import fold, table
 from mektup.session import written
 
@@ -141,6 +141,10 @@ def near(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.classes(table(spark, folder, "documents"))
 
 
+def lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": personal,
     "op2_rule_quality": rule_quality,
@@ -152,4 +156,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxic,
     "op9_sharding": shard,
     "op10_jaccard_join": near,
+    "op12_lexical_search": lexical_search,
 }
