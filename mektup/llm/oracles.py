@@ -45,4 +45,70 @@ r AS (
 k AS (
   SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM r WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10""",
+    "op13_structure_repair": r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations),
+h AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(place, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, 3988292384::BIGINT * (r & 1)))),
+    4294967295::BIGINT) % 20 AS harm FROM c),
+d AS (
+  SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+    CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE harm WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM h),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare FROM d),
+f AS (
+  SELECT conv_id, turn, role, text, i, left(role, 1) AS initial,
+    CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault
+  FROM o),
+g AS (
+  SELECT conv_id, turn, role, text, i, fault, initial,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM f),
+a AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM g GROUP BY conv_id),
+-- cheapest cost and least audit from each state (none, after s, after u, after a), row by row from the end
+e AS (
+  SELECT conv_id, n AS i, {'c': 0, 'a': ''} AS z, {'c': 10, 'a': 'II'} AS s, {'c': 5, 'a': 'I'} AS u, {'c': 0, 'a': ''} AS v FROM a
+  UNION ALL
+  SELECT conv_id, i, least(z0, {'c': u1.c + 5, 'a': 'I' || u1.a}), least(s0, {'c': u1.c + 5, 'a': 'I' || u1.a}), u1, v1
+  FROM (
+    SELECT *, least(u0, {'c': v0.c + 5, 'a': 'I' || v0.a}) AS u1, least(v0, {'c': u0.c + 5, 'a': 'I' || u0.a}) AS v1
+    FROM (
+      SELECT conv_id, i,
+        least({'c': z.c + 2, 'a': 'D' || z.a}, {'c': y + 1 + u.c, 'a': 'R' || u.a},
+          CASE initial WHEN 's' THEN {'c': y + s.c, 'a': 'K' || s.a} WHEN 'u' THEN {'c': y + u.c, 'a': 'K' || u.a} END) AS z0,
+        least({'c': s.c + 2, 'a': 'D' || s.a}, {'c': y + 1 + u.c, 'a': 'R' || u.a},
+          CASE initial WHEN 'u' THEN {'c': y + u.c, 'a': 'K' || u.a} END) AS s0,
+        least({'c': u.c + 2, 'a': 'D' || u.a}, {'c': y + 1 + v.c, 'a': 'R' || v.a},
+          CASE initial WHEN 'a' THEN {'c': y + v.c, 'a': 'K' || v.a} END) AS u0,
+        least({'c': v.c + 2, 'a': 'D' || v.a}, {'c': y + 1 + u.c, 'a': 'R' || u.a},
+          CASE initial WHEN 'u' THEN {'c': y + u.c, 'a': 'K' || u.a} END) AS v0
+      FROM (
+        SELECT e.conv_id, e.i - 1 AS i, z, s, u, v, initial,
+          CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000000 WHEN fault = 'truncated' THEN 5 ELSE 0 END AS y
+        FROM e JOIN g ON g.conv_id IS NOT DISTINCT FROM e.conv_id AND g.i = e.i)))),
+b AS (
+  SELECT a.conv_id, gaps, blank, duplicate, truncated, illegal, z.c AS cost, z.a AS audit
+  FROM a JOIN e ON e.conv_id IS NOT DISTINCT FROM a.conv_id AND e.i = 0),
+l AS (
+  SELECT conv_id, audit, p, substr(audit, p, 1) AS letter,
+    length(replace(substr(audit, 1, p), 'I', '')) AS i, length(replace(substr(audit, 1, p), 'D', '')) AS k,
+    length(replace(audit, 'D', '')) % 2 AS odd
+  FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p FROM b)),
+r AS (
+  SELECT l.conv_id, sha256(string_agg(
+    CASE WHEN letter = 'K' THEN g.role WHEN (k - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+    CASE WHEN letter = 'I' THEN '' ELSE g.text END, chr(10) ORDER BY p)) AS repaired_sha256
+  FROM l LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM l.conv_id AND g.i = l.i AND letter <> 'I'
+  WHERE letter <> 'D' GROUP BY l.conv_id)
+SELECT DISTINCT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+  coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM c LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM c.conv_id""",
 }

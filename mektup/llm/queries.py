@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mektup.llm import chat, decontaminate, exact_dedup, jaccard, langid, lexical, packing, pii, quality, sharding, toxicity
+from mektup.llm import chat, decontaminate, exact_dedup, jaccard, langid, lexical, packing, pii, quality, repair, sharding, toxicity
 from mektup.llm.common import fold, table
 from mektup.session import written
 
@@ -145,6 +145,25 @@ def lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns with planted faults by the hash of their place; a dropped turn stays as a row that is not live."""
+    place = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    harm = F.pmod(F.crc32(place.cast("binary")), F.lit(20))
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    return turns.select(
+        "conv_id",
+        "turn",
+        (harm != 0).alias("live"),
+        F.when(harm == 4, "user").otherwise(role).alias("role"),
+        F.when(harm == 1, "").when(harm == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.sequence(F.lit(1), F.when(harm == 3, 2).otherwise(1))).alias("copy"),
+    )
+
+
+def structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair(damaged(table(spark, folder, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": personal,
     "op2_rule_quality": rule_quality,
@@ -157,4 +176,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": shard,
     "op10_jaccard_join": near,
     "op12_lexical_search": lexical_search,
+    "op13_structure_repair": structure_repair,
 }
