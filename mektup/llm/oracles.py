@@ -111,4 +111,20 @@ SELECT DISTINCT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)
   coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
   coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
 FROM c LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM c.conv_id""",
+    "op11_run_length_dedup": r"""
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents),
+w AS (SELECT doc_id, unnest(list_transform(range(1, n_bytes - 98), lambda p: {'p': p, 's': md5_number(array_slice(b, p, p + 99))}), recursive := true) FROM b),
+s AS (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1 AS again FROM w),
+g AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS step FROM s WHERE again),
+i AS (SELECT doc_id, p, sum(CASE WHEN step <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM g),
+r AS (SELECT doc_id, span, min(p) AS first, max(p) + 99 AS last FROM i GROUP BY ALL),
+k AS (
+  SELECT doc_id, first, lag(last, 1, 0::BIGINT) OVER (PARTITION BY doc_id ORDER BY first) + 1 AS begin, last FROM r),
+a AS (
+  SELECT doc_id, sum(last - first + 1)::BIGINT AS n_removed, count(*) AS n_spans, max(last) AS tail,
+    list(struct_pack(begin := begin, stop := first - 1) ORDER BY first) AS kept FROM k GROUP BY doc_id)
+SELECT b.doc_id, n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN tail IS NULL THEN b ELSE unhex(array_to_string(list_transform(list_append(kept, struct_pack(begin := tail + 1, stop := n_bytes)),
+    lambda x: CASE WHEN x.stop >= x.begin THEN hex(array_slice(b, x.begin, x.stop)) ELSE '' END), '')) END) AS kept_sha256
+FROM b LEFT JOIN a USING (doc_id)""",
 }

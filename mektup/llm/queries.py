@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mektup.llm import chat, decontaminate, exact_dedup, jaccard, langid, lexical, packing, pii, quality, repair, sharding, toxicity
+from mektup.llm import chat, decontaminate, exact_dedup, jaccard, langid, lexical, packing, pii, quality, repair, runlength, sharding, toxicity
 from mektup.llm.common import fold, table
 from mektup.session import written
 
@@ -141,6 +141,11 @@ def near(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.classes(table(spark, folder, "documents"))
 
 
+def run_length_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = runlength.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -175,6 +180,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxic,
     "op9_sharding": shard,
     "op10_jaccard_join": near,
+    "op11_run_length_dedup": run_length_dedup,
     "op12_lexical_search": lexical_search,
     "op13_structure_repair": structure_repair,
 }
