@@ -2,90 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from mektup.config import BODY_MARK, CATEGORY_MARK, SUBJECT_MARK
-from mektup.functions.text import SPACE, bind
-
-RECORD = "struct<subject string, body string>"
-
-
-def _value(line: Column) -> Column:
-    """Text after the first colon without blanks and surrounding quotes; null when empty."""
-    after = F.regexp_extract(line, r"\A[^:]*:(.*)\z", 1)
-    bare = F.regexp_replace(after, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
-    unquoted = F.regexp_replace(F.regexp_replace(bare, r'\A"+|"+\z', ""), r"\A'+|'+\z", "")
-    return F.nullif(unquoted, F.lit(""))
 
-
-def _classified(line: Column) -> Column:
-    plain = F.replace(line, F.lit("**"), F.lit(""))
-    field = plain.contains(":")
-    kind = (
-        F.when(line == "", "blank")
-        .when(plain.contains(SUBJECT_MARK) & field, "subject")
-        .when(plain.contains(BODY_MARK) & field, "body")
-        .when(line.rlike(r"\A\p{Nd}+\.") | line.contains(CATEGORY_MARK), "stop")
-        .otherwise("text")
-    )
-    return F.struct(line.alias("text"), kind.alias("kind"), _value(plain).alias("value"))
-
-
-def _step(state: Column, line: Column) -> Column:
-    kind, value = line["kind"], line["value"]
-    subject, body, open_ = state["subject"], state["body"], state["open"]
-    complete = subject.isNotNull() & body.isNotNull()
-    in_body = open_ & body.isNotNull()
-    closes = complete & ((kind == "subject") | ((kind == "stop") & in_body))
-    kept_subject = F.when(~closes, subject)
-    kept_body = F.when(~closes, body)
-    return F.struct(
-        F.when(kind == "subject", F.coalesce(value, kept_subject))
-        .otherwise(kept_subject)
-        .alias("subject"),
-        F.when(kind == "body", F.coalesce(value, kept_body))
-        .when((kind == "text") & in_body, F.concat(body, F.lit(" "), line["text"]))
-        .otherwise(kept_body)
-        .alias("body"),
-        F.when(kind == "body", F.lit(True))
-        .when(kind.isin("blank", "stop"), F.lit(False))
-        .when((kind == "subject") & value.isNotNull(), F.lit(False))
-        .otherwise(open_)
-        .alias("open"),
-        F.when(
-            closes,
-            F.array_append(state["done"], F.struct(subject.alias("subject"), body.alias("body"))),
-        )
-        .otherwise(state["done"])
-        .alias("done"),
-    )
-
-
-def _finish(state: Column) -> Column:
-    last = F.struct(state["subject"].alias("subject"), state["body"].alias("body"))
-    complete = state["subject"].isNotNull() & state["body"].isNotNull()
-    return F.when(complete, F.array_append(state["done"], last)).otherwise(state["done"])
-
-
-def parse_blocks(text: Column) -> Column:
-    """Array of (subject, body) records of one response.
+RECORDS = ArrayType(StructType([StructField("subject", StringType()), StructField("body", StringType())]))
+_NUMBERED = re.compile(r"\d+\.")
+
+
+def _value(line: str) -> str | None:
+    """Text after the first colon without blanks and surrounding quotes; None when empty."""
+    return line[line.index(":") + 1 :].strip().strip('"').strip("'") or None
+
+
+def records(text: str) -> Iterator[tuple[str, str]]:
+    """The (subject, body) records of one response, in one walk over its lines."""
+    subject: str | None = None
+    body: list[str] = []
+    open_ = False  # whether further lines belong to the body
+    for line in map(str.strip, text.split("\n")):
+        plain = line.replace("**", "")
+        field = ":" in plain
+        if not line:
+            open_ = False
+        elif field and SUBJECT_MARK in plain:
+            if subject is not None and body:
+                yield subject, " ".join(body)
+                subject, body = None, []
+            value = _value(plain)
+            if value is not None:
+                subject, open_ = value, False
+        elif field and BODY_MARK in plain:
+            value = _value(plain)
+            body = [value] if value is not None else body
+            open_ = True
+        elif _NUMBERED.match(line) or CATEGORY_MARK in line:
+            if subject is not None and body and open_:
+                yield subject, " ".join(body)
+                subject, body = None, []
+            open_ = False
+        elif open_ and body:
+            body.append(line)
+    if subject is not None and body:
+        yield subject, " ".join(body)
+
+
+@F.arrow_udf(returnType=RECORDS)
+def parse_blocks(texts: pa.Array) -> pa.Array:
+    """Array of (subject, body) records of each response; null for a null one.
 
     A subject line starts a record, a body line sets its body, further lines extend the body by
     one blank and themselves until an empty line, a numbered line or a category line. Records
-    that lack either field are not returned.
+    that lack either field are not returned. The time is linear in the length of the text.
     """
-    start = F.struct(
-        F.lit(None).cast("string").alias("subject"),
-        F.lit(None).cast("string").alias("body"),
-        F.lit(False).alias("open"),
-        F.array().cast(f"array<{RECORD}>").alias("done"),
-    )
-    lines = F.transform(
-        F.split(text, "\n"),
-        lambda l: bind(F.regexp_replace(l, rf"\A[{SPACE}]+|[{SPACE}]+\z", ""), _classified),
-    )
-    return F.aggregate(lines, start, _step, _finish)
+    kind = pa.list_(pa.struct([("subject", pa.string()), ("body", pa.string())]))
+    found = [None if t is None else [{"subject": s, "body": b} for s, b in records(t)] for t in texts.to_pylist()]
+    return pa.array(found, kind)
 
 
 def block_records(responses: DataFrame) -> DataFrame:

@@ -4,42 +4,80 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mektup.config import CATEGORIES, CATEGORY_HINTS, CONFUSABLE_PAIRS, Config
 from mektup.functions.text import METRIC_NAMES, lower_text
 from mektup.operators.prepare import keeps
-from mektup.session import lookup_join
+from mektup.session import lookup_join, written
 
 KEYS = ("subject", "body")
 
 
+#: Groups with several rows whose narrow records may be broadcast; beyond it they are joined by a shuffle.
+BROADCAST_GROUPS = 500_000
+
+
+def _digests(keys: Sequence[str]) -> tuple[Column, Column]:
+    """Two independent hashes of the key columns; nulls equal each other and nothing else."""
+    parts = [x for k in keys for x in (F.coalesce(F.length(k), F.lit(-1)), F.coalesce(F.col(k), F.lit("")))]
+    return F.xxhash64(*parts), F.xxhash64(F.lit("second"), *reversed(parts))
+
+
+def _first_in_full(df: DataFrame, order: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """The same by comparing whole keys; copies collapse on the map side."""
+    rest = [c for c in df.columns if c not in keys]
+    grouped = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
+    return grouped.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])
+
+
 def dedupe_keep_first(
     df: DataFrame, order: Sequence[str], keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    """One row per ``keys``: the first by ``order``. Nulls equal each other.
+    """One row per ``keys``: the first by ``order``. Nulls equal each other; of wholly equal rows one stays.
 
-    An aggregation, not a window: copies collapse before the shuffle, so a text that makes up a
-    third of all rows costs one row per map task. The leading hash lets the map-side sort compare
-    numbers instead of long texts; the texts stay in the key, so a hash clash merges nothing.
+    Only hashes of keys and rows and the order travel: rows of a group meet as (hash, order), copies
+    collapse on the map side, so a text that makes up a third of all rows costs one record per
+    map task. Groups with several rows are few and narrow; they go back to the rows in a join,
+    where the others pass. Groups whose keys agree in the first hash and not in the second, and
+    rows that tie in their order, are compared in full.
     """
-    rest = [c for c in df.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
-    grouped = df.groupBy(F.xxhash64(*keys).alias("_hash"), *keys).agg(first)
-    return grouped.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])
+    first, second = _digests(keys)
+    place = F.struct(*order, F.xxhash64(*df.columns).alias("_row"))
+    marked = df.select("*", first.alias("_h"), place.alias("_place"))
+    records = df.select(first.alias("_h"), second.alias("_second"), place.alias("_place"))
+    # a record that counts twice stands for rows that tie
+    counted = records.groupBy("_h", "_second", "_place").agg(F.count(F.lit(1)).alias("n"))
+    groups = counted.groupBy("_h").agg(
+        F.sum("n").alias("n"),
+        F.min("_place").alias("_least"),
+        F.min_by("n", "_place").alias("ties"),
+        (F.min("_second") != F.max("_second")).alias("clash"),
+    )
+    several = written(
+        groups.where("n > 1").select(F.col("_h").alias("_g"), "_least", (F.col("clash") | (F.col("ties") > 1)).alias("_full")),
+        "repeated-keys",
+    )
+    small = F.broadcast(several) if several.count() <= BROADCAST_GROUPS else several
+    joined = marked.join(small, F.col("_h") == F.col("_g"), "left")
+    alone = F.col("_g").isNull() | (~F.col("_full") & (F.col("_place") == F.col("_least")))
+    out = joined.where(alone).select(*df.columns)
+    if several.where("_full").isEmpty():
+        return out
+    full = marked.join(several.where("_full"), F.col("_h") == F.col("_g"), "left_semi").select(*df.columns)
+    return out.unionByName(_first_in_full(full, order, keys))
 
 
-def append_mails(existing: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+def append_mails(existing: DataFrame, new: DataFrame, order: str) -> DataFrame:
     """Existing rows plus new ones, without repeats on subject and body; stored rows win.
 
-    ``order`` names a column that orders rows within each side, so that a rerun keeps the same rows;
-    the row position is used without. A side that lacks the column, as a new store does, has no order.
+    ``order`` names a column that orders rows within each side, so that a rerun keeps the same rows.
+    A side that lacks the column, as a new store does, has no order.
     """
 
     def tagged(df: DataFrame, is_new: bool) -> DataFrame:
-        named = F.col(order) if order in df.columns else F.lit(None)
-        position = named if order else F.monotonically_increasing_id()
+        position = F.col(order) if order in df.columns else F.lit(None)
         return df.withColumns({"_is_new": F.lit(is_new), "_position": position})
 
     both = tagged(existing, False).unionByName(tagged(new, True), allowMissingColumns=True)

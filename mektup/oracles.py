@@ -163,6 +163,19 @@ best AS (
 
 _TRIMMED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
+# Packed texts that decode to ten characters or fewer are kept as they arrived.
+_DECODED = (
+    "CASE WHEN doc_id % 4 = 1 AND (length(to_base64(encode(text))) <= 20 OR length("
+    + _TRIMMED.format("text")
+    + ") <= 10) THEN to_base64(encode(text)) WHEN doc_id % 4 = 2 AND length("
+    + _TRIMMED.format("text")
+    + r""") <= 10 THEN replace('--===============0042==~Content-Type: text/plain; charset="utf-8"~MIME-Version: 1.0~'
+       || 'Content-Transfer-Encoding: base64~~', '~', chr(13) || chr(10)) || to_base64(encode(text))
+       || replace('~~--===============0042==--', '~', chr(13) || chr(10)) ELSE """
+    + _TRIMMED.format("text")
+    + " END"
+)
+
 BLOCK_TEXT = r"""
 responses AS (
   SELECT conv_id * 1000 + turn AS response_id, role AS category,
@@ -327,8 +340,13 @@ keyed AS (
         "model_summary": with_ + MODELS + " SELECT * FROM summary",
         "best_model": with_ + MODELS + " SELECT * FROM summary ORDER BY f1_macro DESC, ord LIMIT 1",
         "expectation_check": with_
-        + RULES
-        + " SELECT mail_id, category AS expected, by_letters AS prediction, category = by_letters AS hit FROM ruled",
+        + PROBS
+        + """, t AS (SELECT vec_id, r, 'class' || lpad(cls::VARCHAR, 2, '0') AS label,
+            round(probability, 6)::DECIMAL(9, 6)::VARCHAR AS probability FROM ranked WHERE r <= 3)
+          SELECT e.vec_id, 'class' || lpad(e.label::VARCHAR, 2, '0') AS expected, b.prediction,
+            b.prediction = 'class' || lpad(e.label::VARCHAR, 2, '0') AS hit,
+            string_agg(t.label || ':' || t.probability, ' ' ORDER BY r) AS runners_up
+          FROM embeddings e JOIN best b USING (vec_id) JOIN t ON t.vec_id = e.vec_id AND r > 1 GROUP BY ALL""",
         "nb_relational": with_
         + CLEAN
         + WORD_VOCAB
@@ -364,18 +382,12 @@ keyed AS (
         "decode_subjects": "SELECT doc_id AS mail_id, "
         + _TRIMMED.format("split_part(text, chr(10), 1)")
         + " AS subject FROM documents",
-        "decode_bodies": "SELECT doc_id AS mail_id, CASE WHEN doc_id % 4 = 1 AND (length(to_base64(encode(text))) <= 20 OR length("
-        + _TRIMMED.format("text")
-        + ") <= 10) THEN to_base64(encode(text)) ELSE "
-        + _TRIMMED.format("text")
-        + " END AS body FROM documents",
+        "decode_bodies": "SELECT doc_id AS mail_id, " + _DECODED + " AS body FROM documents",
         "envelope_files": "SELECT doc_id AS mail_id, "
         + _TRIMMED.format("split_part(text, chr(10), 1)")
-        + " AS subject, CASE WHEN doc_id % 4 = 1 AND (length(to_base64(encode(text))) <= 20 OR length("
-        + _TRIMMED.format("text")
-        + ") <= 10) THEN to_base64(encode(text)) ELSE "
-        + _TRIMMED.format("text")
-        + " END AS body FROM documents",
+        + " AS subject, "
+        + _DECODED
+        + " AS body FROM documents",
         "default_fill": with_
         + MAILS
         + """, blanked AS (SELECT mail_id, CASE WHEN mail_id % 3 = 0 THEN '' ELSE subject END AS subject,

@@ -300,16 +300,6 @@ def best_model(spark, folder):
     return evaluate.best_model(rule_summary(spark, folder))
 
 
-@query
-def expectation_check(spark, folder):
-    rows = clean(spark, folder)
-    top = F.array(F.struct(F.lit("").alias("label"), F.lit(0.0).alias("probability")))
-    scored = rows.select(
-        "mail_id", F.col("category").alias("expected"), rules()["by_letters"].alias("prediction"), top.alias("top")
-    )
-    return evaluate.expectation_check(scored).drop("top", "runners_up")
-
-
 @query
 def nb_relational(spark, folder):
     rows = written_clean(spark, folder)
@@ -337,7 +327,7 @@ def class_probabilities(spark: SparkSession, folder: str) -> DataFrame:
         F.sequence(F.lit(0), F.size("embedding") - 1),
         lambda i: F.concat(F.lit("class"), F.lpad(i.cast("string"), 2, "0")),
     )
-    return vectors.select("vec_id", scores.softmax(doubles).alias("p"), names.alias("labels"))
+    return vectors.select("vec_id", "label", scores.softmax(doubles).alias("p"), names.alias("labels"))
 
 
 @query
@@ -381,6 +371,22 @@ def confidence_band(spark, folder):
     return rows.select("vec_id", scores.confidence_band(F.array_max("p") * 30).alias("band"))
 
 
+@query
+def expectation_check(spark, folder):
+    """The class of every embedding against the one that its scores make likeliest, with the next ones."""
+    rows = class_probabilities(spark, folder)
+    expected = F.concat(F.lit("class"), F.lpad(F.col("label").cast("string"), 2, "0"))
+    scored = rows.select(
+        "vec_id",
+        expected.alias("expected"),
+        scores.argmax_label(F.col("p"), F.col("labels")).alias("prediction"),
+        scores.top_classes(F.col("p"), F.col("labels")).alias("top"),
+    )
+    checked = evaluate.expectation_check(scored)
+    told = F.transform("runners_up", lambda t: F.concat_ws(":", t["label"], F.round(t["probability"], 6).cast("decimal(9,6)")))
+    return checked.select("vec_id", "expected", "prediction", "hit", F.array_join(told, " ").alias("runners_up"))
+
+
 # --- raw messages ----------------------------------------------------------------------------
 
 
@@ -415,9 +421,7 @@ def packed_envelopes(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("--\r\n"),
     )
     subject = F.when(shape == 0, first).when(shape == 1, _b_word(first)).otherwise(_q_word(first))
-    body = F.when(shape == 0, text).when(shape == 1, packed).when(
-        (shape == 2) & (F.length(text) > 60), multipart
-    )
+    body = F.when(shape == 0, text).when(shape == 1, packed).when(shape == 2, multipart)
     parts = F.array(
         F.struct(F.lit("text/html").alias("ContentType"), F.lit("<p>unused</p>").alias("Body")),
         F.struct(F.lit("text/plain; charset=utf-8").alias("ContentType"), packed.alias("Body")),

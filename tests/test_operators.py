@@ -92,11 +92,28 @@ def test_store_is_created_once(spark, tmp_path):
 
 
 def test_append_keeps_stored_rows(spark):
-    schema = "category string, subject string, body string"
-    old = spark.createDataFrame([("a", "s", "b"), ("a", "s2", None)], schema).coalesce(1)
-    new = spark.createDataFrame([("z", "s", "b"), ("z", "s2", None), ("n", "x", "y"), ("m", "x", "y")], schema).coalesce(1)
-    out = sorted(tuple(r) for r in curate.append_mails(old, new).collect())
-    assert out == [("a", "s", "b"), ("a", "s2", None), ("n", "x", "y")] or [o[0] for o in out] == ["a", "a", "n"]
+    schema = "category string, subject string, body string, at int"
+    old = spark.createDataFrame([("a", "s", "b", 5), ("a", "s2", None, 6)], schema)
+    new = spark.createDataFrame([("z", "s", "b", 1), ("z", "s2", None, 2), ("m", "x", "y", 4), ("n", "x", "y", 3), ("q", None, "s2", 9)], schema)
+    out = sorted(tuple(r)[:3] for r in curate.append_mails(old, new, "at").collect())
+    assert out == [("a", "s", "b"), ("a", "s2", None), ("n", "x", "y"), ("q", None, "s2")]
+
+
+def test_keep_first_compares_in_full_where_hashes_cannot_tell(spark, monkeypatch):
+    rows = [(k, "s", f"text {k % 7}", k % 3) for k in range(40)] + [(3, "s", "text 3", 0)] * 2 + [(50, None, None, 1), (51, None, None, 1)]
+    df = spark.createDataFrame(rows, "mail_id int, subject string, body string, extra int").repartition(4)
+    expected = [(k, "s", f"text {k}", k % 3) for k in range(7)] + [(50, None, None, 1)]
+    assert sorted(map(tuple, curate.dedupe_keep_first(df, ["mail_id"]).collect()), key=str) == sorted(expected, key=str)
+    # all first hashes clash
+    real = curate._digests
+    monkeypatch.setattr(curate, "_digests", lambda keys: (F.lit(1).cast("long"), real(keys)[1]))
+    assert sorted(map(tuple, curate.dedupe_keep_first(df, ["mail_id"]).collect()), key=str) == sorted(expected, key=str)
+
+
+def test_keep_first_moves_no_text(spark):
+    df = spark.createDataFrame([(1, "s", "b"), (2, "s", "b")], "mail_id int, subject string, body string")
+    plan = curate.dedupe_keep_first(df, ["mail_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Sort" not in plan
 
 
 def test_quota_phases(spark):
@@ -184,6 +201,19 @@ def test_block_records(spark):
     ]
 
 
+def test_block_records_take_linear_time():
+    import time
+
+    def seconds(n):
+        text = "\n".join(["Başlık: konu", "İçerik: ilk"] + ["devam"] * n + ["Başlık: b", "İçerik: c", "Kategori: x"] * n)
+        start = time.perf_counter()
+        assert len(list(blocks.records(text))) == n + 1
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert min(seconds(64_000) for _ in range(3)) < 12 * min(seconds(16_000) for _ in range(3))
+
+
 def envelope(i, subject=None, body=None, **content):
     inner = {"Headers": {} if subject is None else {"Subject": subject}, "Body": body or "", **content}
     return {"ID": i, "Content": inner}
