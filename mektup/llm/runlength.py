@@ -29,11 +29,11 @@ class Repeats:
     #: Bytes of an anchor, level by level; strings of an anchor that too many passages share go on to the next.
     anchors: tuple[int, ...] = (24, 60, 100)
     #: Different passages around an anchor that go into one index.
-    group: int = 16384
+    group: int = 4096
     #: Bytes of an index, and bytes of text cut into passages at once and told apart at once.
-    index_bytes: int = 3_000_000
-    cut_bytes: int = 1_000_000
-    batch_bytes: int = 16_000_000
+    index_bytes: int = 800_000
+    cut_bytes: int = 500_000
+    batch_bytes: int = 8_000_000
 
 
 # --- passages around anchors -----------------------------------------------------------------
@@ -95,8 +95,7 @@ def passages(texts: list[bytes], anchor: int, length: int) -> Passages:
     if n < length:
         none = np.zeros(0, dtype=np.int64)
         return Passages(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
-    room = 1 << max(16, int(n + 1).bit_length())
-    up, down, values, up2, down2, values2 = _chances(room)
+    up, down, values, up2, down2, values2 = _chances(max(1 << 20, 1 << int(n + 1).bit_length()))
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(values[t] * up[:n], out=total[1:])
     grams = _mixed((total[anchor:] - total[:-anchor]) * down[: n + 1 - anchor])
