@@ -148,8 +148,7 @@ class Config:
     calibration_folds: int = 3
     gbt_rounds: int = 50
     gbt_depth: int = 5
-    gbt_features: int = 512
-    fit_parallelism: int = 4
+    gbt_bins: int = 8
     # collection targets
     quota_min: int = 2000
     quota_max: int = 2000

@@ -8,13 +8,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    NaiveBayes,
-    OneVsRest,
-)
-from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +17,7 @@ from mektup.config import Config
 from mektup.functions.text import METRIC_NAMES
 from mektup.operators import evaluate, prepare
 from mektup.operators.split import split_with_folds
+from mektup.plans.boosting import BoostedTreesModel, Boosting, fit_boosted
 from mektup.plans.calibration import fit_sigmoids
 from mektup.plans.margin import Problems, fit_machines
 from mektup.plans.scoring import MailModel, with_prediction
@@ -50,13 +46,18 @@ class TrainingSet:
     config: Config
     counts: dict[tuple[int, int], int] = field(default_factory=dict)
 
+    @property
+    def all_train(self) -> DataFrame:
+        """Training rows as the table holds them."""
+        return self.table.filter(F.col("split") == "train").drop("split")
+
     @property
     def train(self) -> DataFrame:
         """Training rows, in no more partitions than their number is worth.
 
         Every optimiser step merges one dense gradient per partition, so small tables are packed.
         """
-        rows = self.table.filter(F.col("split") == "train").drop("split")
+        rows = self.all_train
         worth = sum(self.counts.values()) // ROWS_PER_PARTITION + 1
         return rows.coalesce(worth) if worth < rows.rdd.getNumPartitions() else rows
 
@@ -190,26 +191,12 @@ def fit_svm(data: TrainingSet) -> list[Transformer]:
 
 
 def fit_trees(data: TrainingSet) -> list[Transformer]:
-    """Boosted trees, one-vs-rest, on the features that separate the classes best.
-
-    Spark's trees hold one dense bin per feature and row, hence the cut.
-    """
-    config = data.config
-    rows = assembler().transform(data.train).select("label", "features")
-    selector = UnivariateFeatureSelector(
-        featuresCol="features", labelCol="label", outputCol="selected", selectionMode="numTopFeatures"
-    )
-    selector.setFeatureType("continuous").setLabelType("categorical")
-    selector.setSelectionThreshold(config.gbt_features)
-    chosen = selector.fit(rows)
-    trees = GBTClassifier(
-        featuresCol="selected", maxIter=config.gbt_rounds, maxDepth=config.gbt_depth, seed=config.seed
-    )
-    one_vs_rest = OneVsRest(
-        classifier=trees, featuresCol="selected", labelCol="label", parallelism=config.fit_parallelism
-    )
-    selected = written(chosen.transform(rows).select("label", "selected"), "selected")
-    return [assembler(), chosen, one_vs_rest.fit(selected)]
+    """Boosted trees with softmax loss on all features, all classes of a round together."""
+    config, width = data.config, data.tfidf.fitted.size + len(METRIC_NAMES)
+    settings = Boosting(rounds=config.gbt_rounds, depth=config.gbt_depth, bins=config.gbt_bins)
+    rows = assembler().transform(data.all_train).select("label", "features")
+    trees, classes = fit_boosted(rows, len(data.labels), width, settings)
+    return [assembler(), BoostedTreesModel(trees, classes, width)]
 
 
 # Candidates in training order; the first wins ties.
@@ -281,7 +268,7 @@ def compare_models(
 
 
 def feature_importance(model: MailModel, n: int = 20) -> DataFrame | None:
-    """The ``n`` TF-IDF features that matter most: tree importances or mean absolute coefficients.
+    """The ``n`` TF-IDF features that matter most: mean gains in trees or mean absolute coefficients.
 
     None for a model that has neither. The vocabulary is capped, so the values fit the driver.
     """
@@ -292,10 +279,8 @@ def feature_importance(model: MailModel, n: int = 20) -> DataFrame | None:
         values = last.mean_abs_coefficients()
     elif hasattr(last, "coefficientMatrix"):
         values = np.abs(last.coefficientMatrix.toArray()).mean(axis=0)
-    elif hasattr(last, "models"):
-        values = np.zeros(len(names) + 7)
-        for m in last.models:
-            values[stages[-2].selectedFeatures] += m.featureImportances.toArray() / len(last.models)
+    elif isinstance(last, BoostedTreesModel):
+        values = last.importance()
     else:
         return None
     spark = model.spark

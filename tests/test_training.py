@@ -12,7 +12,7 @@ from mektup.queries import mails
 from mektup.streaming.watch import watch
 
 SMALL = Config(
-    word_features=400, char_features=300, lr_iterations=30, svm_iterations=60, gbt_rounds=3, gbt_depth=2, gbt_features=40
+    word_features=400, char_features=300, lr_iterations=30, svm_iterations=60, gbt_rounds=3, gbt_depth=2
 )
 
 
