@@ -483,13 +483,12 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce("doc_id", F.lit(_LAST_ID)).alias("id"), tag.alias("place"), "text")
 
 
-def _contents(docs: DataFrame, wanted: DataFrame, most: int = 500_000) -> DataFrame:
-    """The wanted passages (key, id, place, bytes) with their bytes."""
+def _contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted passages (key, id, place, bytes) with their bytes; the planner joins by measured sizes."""
     high = F.lit(-(1 << 32))
     listed = wanted.groupBy(F.col("id").alias("w_id"), F.col("place").bitwiseAND(high).alias("w_place")).agg(
         F.collect_list(F.struct("key", "place", "bytes")).alias("wanted")
     )
-    listed = F.broadcast(listed) if wanted.count() <= most else listed
     joined = docs.join(listed, (docs["id"] == F.col("w_id")) & (docs["place"] == F.col("w_place")))
     # rows that repeat in full give the same passages
     rows = joined.select("id", "text", F.explode("wanted").alias("w")).select("id", "w.*", "text")
