@@ -35,13 +35,13 @@ def _window(n: int, low: int) -> str:
     return f"(?=([^ ]{{{n}}}| [^ ]{{{n - 1}}}|[^ ]{{{n - 1}}} |{whole}))"
 
 
-def char_ngrams(clean: Column, low: int = 3, high: int = 5) -> Column:
-    """Character windows of ``low`` to ``high`` inside word bounds."""
+def char_ngrams(clean: Column, low: int = 3, high: int = 5, start: int | None = None) -> Column:
+    """Character windows of ``low`` to ``high`` inside word bounds, or only those of ``start`` and more."""
     if low < 3:
         raise ValueError("character n-grams inside word bounds start at 3")
     tight = F.trim(F.regexp_replace(clean, " +", " "))
     padded = F.concat(F.lit(" "), F.replace(tight, F.lit(" "), F.lit("  ")), F.lit(" "))
     parts = [
-        F.regexp_extract_all(padded, F.lit(_window(n, low)), F.lit(1)) for n in range(low, high + 1)
+        F.regexp_extract_all(padded, F.lit(_window(n, low)), F.lit(1)) for n in range(start or low, high + 1)
     ]
     return parts[0] if len(parts) == 1 else F.concat(*parts)

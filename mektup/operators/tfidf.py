@@ -1,7 +1,8 @@
 """Vocabulary statistics and TF-IDF weights of word and character n-grams.
 
-Fitting explodes each text's sorted n-grams once and counts, per term, its occurrences and the
-texts it occurs in; both counts combine on the map side. The kept vocabulary is capped, so it may
+Fitting counts, per n-gram, its occurrences and the texts it occurs in; both counts combine on the
+map side. The shortest n-grams are counted first, and longer ones only where those they are made
+of are frequent enough to stay; the cut to the cap is found by histograms. The kept vocabulary is capped, so it may
 travel to every task. Applying it never explodes nor shuffles: Spark's count vectoriser turns a
 row's n-grams into term counts, and one vectorised Arrow step weighs a whole batch of rows.
 """
@@ -35,19 +36,10 @@ def kinds_of(config: Config) -> list[str]:
     return [k for k in KINDS if caps[k] > 0]
 
 
-def term_stats(rows: DataFrame, config: Config = Config(), text: str = "text_clean") -> DataFrame:
-    """(kind, term, cf, df): corpus and document frequency of every n-gram."""
+def _counted(rows: DataFrame, of_kind: dict[str, Column], parts: DataFrame | None = None, low: dict[str, int] | None = None) -> DataFrame:
+    """(kind, term, cf, df) of the n-grams in the given arrays; with ``parts`` of those alone that begin and end in one."""
     per_kind = rows.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(k).alias("kind"), F.sort_array(grams(k, F.col(text), config)).alias("g")
-                    )
-                    for k in kinds_of(config)
-                ]
-            )
-        )
+        F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.sort_array(g).alias("g")) for k, g in of_kind.items()]))
     )
     # In a sorted list the first of equal neighbours marks one text for the term.
     terms = per_kind.select("kind", "g", F.posexplode("g").alias("pos", "term")).select(
@@ -57,9 +49,83 @@ def term_stats(rows: DataFrame, config: Config = Config(), text: str = "text_cle
         .otherwise(1)
         .alias("first"),
     )
+    if parts is not None:
+        term, is_word = F.col("term"), F.col("kind") == "w"
+        sides = {
+            "head": F.when(is_word, F.substring_index(term, " ", low["w"])).otherwise(F.left(term, F.lit(low["c"]))),
+            "tail": F.when(is_word, F.substring_index(term, " ", -low["w"])).otherwise(F.right(term, F.lit(low["c"]))),
+        }
+        for side, part in sides.items():
+            named = F.broadcast(parts.select(F.col("kind").alias("part_kind"), F.col("term").alias(side)))
+            terms = terms.join(named, (F.col("kind") == F.col("part_kind")) & (part == F.col(side)), "left_semi")
     return terms.groupBy("kind", "term").agg(F.count("*").alias("cf"), F.sum("first").alias("df"))
 
 
+def term_stats(rows: DataFrame, config: Config = Config(), text: str = "text_clean") -> DataFrame:
+    """(kind, term, cf, df): corpus and document frequency of every n-gram."""
+    return _counted(rows, {k: grams(k, F.col(text), config) for k in kinds_of(config)})
+
+
+#: Frequent short n-grams that may be broadcast; beyond it longer ones are counted without their help.
+BROADCAST_PARTS = 1_000_000
+#: Cells of a histogram, and terms that are sorted on the driver to find the last one of equal frequency.
+CELLS = 1024
+
+
+def frequency_cut(stats: DataFrame, cap: int) -> tuple[int, int]:
+    """The frequency that the ``cap``-th most frequent term has, and how many terms of just that frequency stay.
+
+    (0, 0) when all terms stay. Found by narrowing histograms, first by binary length, so that no
+    term is sorted and at most ``CELLS`` counts reach the driver at a time.
+    """
+    lengths = {r[0]: r[1] for r in stats.groupBy(F.length(F.bin("cf"))).count().collect()}
+    if sum(lengths.values()) <= cap:
+        return 0, 0
+    room = cap
+    for bits in sorted(lengths, reverse=True):
+        if lengths[bits] >= room:
+            break
+        room -= lengths[bits]
+    low, high = 1 << (bits - 1), 1 << bits
+    while high - low > 1:
+        step = -(-(high - low) // CELLS)
+        inside = stats.filter((F.col("cf") >= low) & (F.col("cf") < high))
+        cells = {r[0]: r[1] for r in inside.groupBy(F.floor((F.col("cf") - low) / step).alias("cell")).count().collect()}
+        for cell in sorted(cells, reverse=True):
+            if cells[cell] >= room:
+                break
+            room -= cells[cell]
+        low, high = low + cell * step, min(high, low + (cell + 1) * step)
+    return low, room
+
+
+def last_of_ties(ties: DataFrame, room: int) -> str:
+    """The ``room``-th term in order, found letter by letter."""
+    prefix = ""
+    while True:
+        here = ties.filter(F.col("term").startswith(prefix))
+        few = here.select("term").limit(CELLS + 1).collect()
+        if len(few) <= CELLS:
+            return sorted(r[0] for r in few)[room - 1]
+        counts = {r[0]: r[1] for r in here.groupBy(F.substring("term", len(prefix) + 1, 1)).count().collect()}
+        for letter in sorted(counts):
+            if counts[letter] >= room:
+                break
+            room -= counts[letter]
+        if not letter:
+            return prefix
+        prefix += letter
+
+
+def most_frequent(stats: DataFrame, cap: int) -> DataFrame:
+    """The ``cap`` most frequent terms of ``stats`` (term order on ties); reads a written table a few times."""
+    cut, room = frequency_cut(stats, cap)
+    if not cut:
+        return stats
+    last = last_of_ties(stats.filter(F.col("cf") == cut), room)
+    return stats.filter((F.col("cf") > cut) | ((F.col("cf") == cut) & (F.col("term") <= last)))
+
+
 def _as_count(cut: float, n_docs: Column) -> Column:
     """An integer cut is a number of texts, a fraction is a share of them."""
     if isinstance(cut, int) or cut > 1:
@@ -76,19 +142,31 @@ def vocabulary(
     stay (term order on ties). Indices follow term order, words before characters.
     """
     n = F.lit(n_docs) if n_docs is not None else rows.agg(F.count("*")).scalar()
-    stats = term_stats(rows, config, text).filter(
-        (F.col("df") >= _as_count(config.min_df, n)) & (F.col("df") <= _as_count(config.max_df, n))
-    )
-    # Counted once into a table; an ordered limit then keeps only the leading terms of every
-    # partition, where a ranking window would sort all terms of a kind in one task.
-    stats = written(stats, "terms")
-    caps = {"w": config.word_features, "c": config.char_features}
+    least, most = _as_count(config.min_df, n), _as_count(config.max_df, n)
+    caps = {k: {"w": config.word_features, "c": config.char_features}[k] for k in kinds_of(config)}
+    bounds = {"w": config.word_ngrams, "c": config.char_ngrams}
+    # The shortest n-grams first: a longer one is never more frequent than those it is made of.
+    shortest = {"w": lambda t: word_ngrams(t, bounds["w"][0], bounds["w"][0]), "c": lambda t: char_ngrams(t, bounds["c"][0], bounds["c"][0])}
+    short = written(_counted(rows, {k: shortest[k](F.col(text)) for k in caps}).filter(F.col("df") >= least), "short-terms")
+    longer = {
+        "w": lambda t: word_ngrams(t, bounds["w"][0] + 1, bounds["w"][1]),
+        "c": lambda t: char_ngrams(t, *bounds["c"], start=bounds["c"][0] + 1),
+    }
+    stats = short.filter(F.col("df") <= most)
+    more = [k for k in caps if bounds[k][1] > bounds[k][0]]
+    if more:
+        # what stays in the end is at least as frequent as what the shortest alone would leave
+        cuts = {k: frequency_cut(stats.filter(F.col("kind") == k), caps[k])[0] for k in more}
+        frequent = reduce(Column.__or__, [(F.col("kind") == k) & (F.col("cf") >= cuts[k]) for k in more])
+        parts = short.filter(frequent).select("kind", "term")
+        fits = parts.limit(BROADCAST_PARTS + 1).count() <= BROADCAST_PARTS
+        long = _counted(
+            rows, {k: longer[k](F.col(text)) for k in more}, parts if fits else None, {k: b[0] for k, b in bounds.items()}
+        )
+        long = long.filter(frequent & (F.col("df") >= least) & (F.col("df") <= most))
+        stats = stats.unionByName(written(long, "long-terms"))
     kept = reduce(
-        DataFrame.unionByName,
-        [
-            stats.filter(F.col("kind") == k).orderBy(F.desc("cf"), "term").limit(caps[k])
-            for k in kinds_of(config)
-        ],
+        DataFrame.unionByName, [most_frequent(stats.filter(F.col("kind") == k), caps[k]) for k in caps]
     )
     # The vocabulary is capped, so one task can number it.
     in_order = Window.orderBy(F.desc("kind"), "term")

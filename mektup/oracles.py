@@ -200,13 +200,91 @@ seg AS (
   FROM vals WHERE rec > 0)"""
 
 
-def oracle_sql() -> dict[str, str]:
-    with_ = "WITH "
-    split = CLEAN + """,
+KEYED = """,
 keyed AS (
   SELECT mail_id, category, md5('42:' || mail_id) AS k, count(*) OVER (PARTITION BY category) AS nc,
          count(*) OVER () AS n, row_number() OVER (PARTITION BY category ORDER BY md5('42:' || mail_id), mail_id) AS r
   FROM clean)"""
+
+QUOTAS = """,
+exact_quota AS (
+  SELECT category, nc, n, nc * (n - ceil(0.2 * n)) / n AS exact FROM keyed GROUP BY ALL),
+shares AS (
+  SELECT *, floor(exact) + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC, category)
+    <= (n - ceil(0.2 * n)) - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS train FROM exact_quota),
+parts AS (
+  SELECT mail_id, k.category, CASE WHEN r <= train THEN 'train' ELSE 'test' END AS split
+  FROM keyed k JOIN shares s USING (category))"""
+
+SPLIT = KEYED + QUOTAS
+
+# Naive Bayes with smoothed priors on both blocks, learnt from the exact training part.
+_ALL_TEXTS = "(SELECT * FROM c7 WHERE text_clean <> '')"
+_TRAIN = "(SELECT mail_id FROM parts WHERE split = 'train')"
+
+
+def bayes_sql(mails: str) -> str:
+    """CTEs up to picked (mail_id, category, p, r): the class probabilities of every mail, the likeliest first."""
+    clean = CLEAN.replace(MAILS, mails).replace(
+        "subject || ' ' || body AS text_raw", "coalesce(subject, '') || ' ' || coalesce(body, '') AS text_raw"
+    )
+    asked = "\n  WHERE category IS NOT NULL AND subject IS NOT NULL AND body IS NOT NULL"
+    clean = clean.replace(asked, "").replace("FROM c7 WHERE text_clean <> ''", "FROM c7" + asked + " AND text_clean <> ''")
+    vocab = _VOCAB.format(terms="SELECT * FROM every_term WHERE mail_id IN " + _TRAIN).replace("FROM clean", "FROM " + _TRAIN)
+    return (
+        clean
+        + SPLIT
+        + (WORD_TERMS + CHAR_TERMS).replace("FROM clean", "FROM " + _ALL_TEXTS)
+        + ", every_term AS (SELECT * FROM word_terms UNION ALL SELECT * FROM char_terms)"
+        + vocab
+        + WEIGHTS.replace("FROM terms", "FROM every_term")
+        + f""",
+counts AS (SELECT category, count(*) AS nc, sum(count(*)) OVER () AS n, count(*) OVER () AS k
+  FROM clean WHERE mail_id IN {_TRAIN} GROUP BY category),
+fc AS (SELECT category, feature_index, sum(weight) AS fc FROM weights JOIN clean USING (mail_id)
+  WHERE mail_id IN {_TRAIN} GROUP BY ALL),
+cc AS (SELECT category, sum(fc) AS cc FROM fc GROUP BY ALL),
+grid AS (
+  SELECT co.category, v.feature_index, ln(coalesce(fc.fc, 0) + 0.1) - ln(cc.cc + 0.1 * (SELECT count(*) FROM vocab)) AS lp
+  FROM counts co CROSS JOIN vocab v JOIN cc ON cc.category = co.category
+  LEFT JOIN fc ON fc.category = co.category AND fc.feature_index = v.feature_index),
+sums AS (SELECT mail_id, category, sum(weight * lp) AS s FROM weights JOIN grid USING (feature_index) GROUP BY ALL),
+scored AS (
+  SELECT m.mail_id, co.category, ln(nc + 0.1) - ln(n + 0.1 * k) + coalesce(s, 0) AS score
+  FROM c7 m CROSS JOIN counts co LEFT JOIN sums ON sums.mail_id = m.mail_id AND sums.category = co.category),
+raised AS (SELECT mail_id, category, exp(score - max(score) OVER (PARTITION BY mail_id)) AS e FROM scored),
+shares_of AS (SELECT mail_id, category, e / sum(e) OVER (PARTITION BY mail_id) AS p FROM raised),
+picked AS (SELECT *, row_number() OVER (PARTITION BY mail_id ORDER BY p DESC, category) AS r FROM shares_of)"""
+    )
+
+
+# The stream's messages, decoded and filled in, next to the mails that the model learns from.
+MESSAGES = (
+    MAILS.replace("mails AS", "own AS")
+    + ",\nread AS (SELECT doc_id AS mail_id, "
+    + _TRIMMED.format("split_part(text, chr(10), 1)")
+    + " AS subject, "
+    + _DECODED
+    + """ AS body FROM documents),
+filled AS (
+  SELECT mail_id, CASE WHEN subject = '' THEN 'Test' ELSE subject END AS subject,
+    CASE WHEN body = '' THEN subject ELSE body END AS body FROM read WHERE subject <> '' OR body <> ''),
+mails AS (SELECT * FROM own UNION ALL SELECT mail_id + 1000000000000, NULL, subject, body FROM filled)"""
+)
+
+REPORT = """, acc AS (SELECT sum(hits) / sum(support) AS a, sum(support) AS s FROM cls)
+          SELECT row_number() OVER (ORDER BY label) - 1 AS ord, label, round(precision, 9) AS precision,
+            round(recall, 9) AS recall, round(f1, 9) AS f1, round(support, 9) AS support FROM cls
+          UNION ALL SELECT (SELECT count(*) FROM cls), 'accuracy', round(a, 9), round(a, 9), round(a, 9), round(a, 9) FROM acc
+          UNION ALL SELECT (SELECT count(*) FROM cls) + 1, 'macro avg', round(avg(precision), 9), round(avg(recall), 9),
+            round(avg(f1), 9), sum(support) FROM cls
+          UNION ALL SELECT (SELECT count(*) FROM cls) + 2, 'weighted avg', round(sum(precision * support) / sum(support), 9),
+            round(sum(recall * support) / sum(support), 9), round(sum(f1 * support) / sum(support), 9), sum(support) FROM cls"""
+
+
+def oracle_sql() -> dict[str, str]:
+    with_ = "WITH "
+    split = CLEAN + KEYED
     sql = {
         "clean_text": with_ + CLEAN + " SELECT mail_id, category, text_clean FROM clean",
         "category_counts": with_ + CLEAN + " SELECT category, count(*) AS n FROM clean GROUP BY ALL",
@@ -291,13 +369,7 @@ keyed AS (
           FROM weights GROUP BY mail_id""",
         "stratified_split": with_
         + split
-        + """, quota AS (
-            SELECT category, nc, n, nc * (n - ceil(0.2 * n)) / n AS exact FROM keyed GROUP BY ALL),
-          shares AS (
-            SELECT *, floor(exact) + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC, category)
-              <= (n - ceil(0.2 * n)) - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS train FROM quota)
-          SELECT mail_id, k.category, CASE WHEN r <= train THEN 'train' ELSE 'test' END AS split
-          FROM keyed k JOIN shares s USING (category)""",
+        + QUOTAS + " SELECT mail_id, category, split FROM parts",
         "kfold": with_
         + split
         + """ SELECT mail_id, category, CASE WHEN r <= nc // 3 + (nc % 3 > 0)::INT THEN 0
@@ -324,14 +396,7 @@ keyed AS (
           QUALIFY truth <> prediction ORDER BY n DESC, truth, prediction LIMIT 10""",
         "classification_report": with_
         + SCORES
-        + """, acc AS (SELECT sum(hits) / sum(support) AS a, sum(support) AS s FROM cls)
-          SELECT row_number() OVER (ORDER BY label) - 1 AS ord, label, round(precision, 9) AS precision,
-            round(recall, 9) AS recall, round(f1, 9) AS f1, round(support, 9) AS support FROM cls
-          UNION ALL SELECT (SELECT count(*) FROM cls), 'accuracy', round(a, 9), round(a, 9), round(a, 9), round(a, 9) FROM acc
-          UNION ALL SELECT (SELECT count(*) FROM cls) + 1, 'macro avg', round(avg(precision), 9), round(avg(recall), 9),
-            round(avg(f1), 9), sum(support) FROM cls
-          UNION ALL SELECT (SELECT count(*) FROM cls) + 2, 'weighted avg', round(sum(precision * support) / sum(support), 9),
-            round(sum(recall * support) / sum(support), 9), round(sum(f1 * support) / sum(support), 9), sum(support) FROM cls""",
+        + REPORT,
         "macro_scores": with_
         + SCORES
         + """ SELECT round(sum(hits) / sum(support), 9) AS accuracy, round(avg(f1), 9) AS f1_macro,
@@ -403,6 +468,26 @@ keyed AS (
             WHERE kind IN ('body', 'text') GROUP BY ALL)
           SELECT response_id, row_number() OVER (PARTITION BY response_id ORDER BY rec) AS record, category, subject, body
           FROM heads JOIN bodies USING (response_id, rec) WHERE subject IS NOT NULL""",
+        "train_report_nb": with_
+        + bayes_sql(MAILS)
+        + """,
+pairs AS (
+  SELECT t.category AS truth, p.category AS prediction, count(*) AS n
+  FROM parts t JOIN picked p ON p.mail_id = t.mail_id AND r = 1 WHERE split = 'test' GROUP BY ALL)"""
+        + _class_scores("pairs", "cls")
+        + REPORT,
+        "score_mails": with_
+        + bayes_sql(MAILS)
+        + """ SELECT mail_id, CASE WHEN max(p) < 0.6 THEN 'Diğer' ELSE max(category) FILTER (r = 1) END AS prediction,
+          round(max(p), 5) AS confidence,
+          CASE WHEN max(p) < 0.5 THEN 'low' WHEN max(p) < 0.7 THEN 'medium' ELSE 'high' END AS band,
+          string_agg(category, ' ' ORDER BY r) FILTER (r <= 3) AS top_labels FROM picked GROUP BY mail_id""",
+        "stream_score": with_
+        + bayes_sql(MESSAGES)
+        + """ SELECT f.mail_id, any_value(subject) AS subject, substr(any_value(body), 1, 500) AS body,
+          max(category) FILTER (r = 1) AS prediction,
+          string_agg(category || ':' || round(p, 4)::DECIMAL(5, 4)::VARCHAR, ' ' ORDER BY category) AS probabilities
+          FROM filled f JOIN picked p ON p.mail_id = f.mail_id + 1000000000000 GROUP BY f.mail_id""",
         "stream_dedupe": "SELECT event_id, user_id, event_type, value FROM events",
         "store_append": with_
         + MAILS

@@ -570,7 +570,7 @@ def report(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 @query
 def train_report_nb(spark, folder):
-    return report(spark, folder, "Naive Bayes")
+    return rounded(report(spark, folder, "Naive Bayes"), 9, "precision", "recall", "f1", "support")
 
 
 @query
@@ -615,9 +615,9 @@ def score_mails(spark, folder):
     return scored.select(
         "mail_id",
         "prediction",
-        "confidence",
+        F.round("confidence", 5).alias("confidence"),
         scores.confidence_band(F.col("confidence")).alias("band"),
-        F.col("top.label").alias("top_labels"),
+        F.array_join("top.label", " ").alias("top_labels"),
     )
 
 
@@ -632,4 +632,10 @@ def stream_score(spark, folder):
         "processed_at timestamp, mail_id string, subject string, body string, prediction string, "
         "probabilities map<string, double>"
     ).json(f"{path}/log")
-    return log.select("mail_id", "subject", "body", "prediction", "probabilities")
+    shares = F.transform(
+        F.array_sort(F.map_entries("probabilities")),
+        lambda e: F.concat_ws(":", e["key"], F.round(e["value"], 4).cast("decimal(5,4)")),
+    )
+    return log.select(
+        F.col("mail_id").cast("long").alias("mail_id"), "subject", "body", "prediction", F.array_join(shares, " ").alias("probabilities")
+    )

@@ -308,3 +308,40 @@ def test_export_tfidf(spark, tmp_path):
     assert {r["mail_id"] for r in matrix.filter(F.col("feature_index") == word).collect()} == {1, 3}
     lengths = matrix.groupBy("mail_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).collect()
     assert all(r["s"] == pytest.approx(2.0) for r in lengths) and len(lengths) == 3
+
+
+def test_most_frequent_terms_by_histograms(spark, monkeypatch):
+    import random
+
+    chance = random.Random(6)
+    letters = ["a", "b", "ç", "日", "😀", " "]
+    terms = sorted({"".join(chance.choices(letters, k=chance.randrange(1, 6))) for _ in range(900)})
+    stats = [(t, chance.choice([1, 2, 2, 3, 3, 3, 9, 500, 10**6, 3 * 10**9 + chance.randrange(9)])) for t in terms]
+    df = spark.createDataFrame(stats, "term string, cf long")
+    ranked = sorted(stats, key=lambda s: (-s[1], s[0]))
+    monkeypatch.setattr(tfidf, "CELLS", 5)  # several rounds of narrowing, ties told apart letter by letter
+    for cap in (1, 7, 60, 199, len(stats) - 1, len(stats), len(stats) + 5):
+        assert sorted(map(tuple, tfidf.most_frequent(df, cap).collect())) == sorted(ranked[:cap])
+    assert tfidf.most_frequent(df.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("fits", [True, False])
+def test_vocabulary_equals_counting_everything(spark, monkeypatch, fits):
+    import random
+
+    if not fits:
+        monkeypatch.setattr(tfidf, "BROADCAST_PARTS", 3)
+    chance = random.Random(2)
+    words = ["elma", "bir", "ab", "armut", "su", "çok güzel", "x"]
+    rows = spark.createDataFrame([(k, " ".join(chance.choices(words, k=chance.randrange(9)))) for k in range(60)], "mail_id int, text_clean string")
+    for config in (
+        Config(word_features=9, char_features=11, max_df=0.7), Config(word_features=40, char_features=0, word_ngrams=(2, 3), min_df=3),
+        Config(word_features=5, char_features=500, word_ngrams=(1, 1), char_ngrams=(4, 6), max_df=1.0),
+    ):
+        least, most = config.min_df, config.max_df * 60
+        stats = [r for r in tfidf.term_stats(rows, config).collect() if least <= r["df"] <= most]
+        caps = {"w": config.word_features, "c": config.char_features}
+        want = [r for k in tfidf.kinds_of(config) for r in sorted((s for s in stats if s["kind"] == k), key=lambda s: (-s["cf"], s["term"]))[: caps[k]]]
+        got = tfidf.vocabulary(rows, config).collect()
+        assert sorted((r["kind"], r["term"], r["cf"], r["df"]) for r in got) == sorted(map(tuple, want))
+        assert [r["term"] for r in sorted(got, key=lambda r: r["feature_index"])] == [r["term"] for r in sorted(want, key=lambda r: (r["kind"] != "w", r["term"]))]
