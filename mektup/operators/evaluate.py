@@ -7,7 +7,6 @@ rows; all later steps work on that table, which has at most one row per pair of
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,9 +24,19 @@ def _rate(part: Column, whole: Column) -> Column:
     return F.coalesce(part / F.nullif(whole, F.lit(0)), F.lit(0.0))
 
 
-def class_scores(pairs: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and support per label seen as truth or as prediction."""
+def model_pairs(scored: DataFrame, truth: str = "category") -> DataFrame:
+    """(ord, model, truth, prediction, n) of rows that hold the predictions of several models.
+
+    ``scored`` has ord, model and prediction, one row per model and mail; all models are counted
+    in the same aggregation.
+    """
+    return scored.groupBy("ord", "model", F.col(truth).alias("truth"), "prediction").agg(F.count("*").alias("n"))
+
+
+def class_scores(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Precision, recall, F1 and support per label seen as truth or as prediction, for each value of ``by``."""
     sides = pairs.select(
+        *by,
         F.inline(
             F.array(
                 F.struct(
@@ -45,12 +54,13 @@ def class_scores(pairs: DataFrame) -> DataFrame:
                     F.lit(0).cast("long").alias("hits"),
                 ),
             )
-        )
+        ),
     )
-    totals = sides.groupBy("label").agg(
+    totals = sides.groupBy(*by, "label").agg(
         F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("hits").alias("hits")
     )
     return totals.select(
+        *by,
         "label",
         _rate(F.col("hits"), F.col("predicted")).alias("precision"),
         _rate(F.col("hits"), F.col("support")).alias("recall"),
@@ -66,10 +76,10 @@ def _averages(weight: Column | None) -> list[Column]:
     return [F.sum(F.col(m) * weight) / F.sum(weight) for m in ("precision", "recall", "f1")]
 
 
-def macro_scores(pairs: DataFrame) -> DataFrame:
-    """One row: accuracy and macro precision, recall and F1."""
+def macro_scores(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Accuracy and macro precision, recall and F1; one row, or one for each value of ``by``."""
     precision, recall, f1 = _averages(None)
-    return class_scores(pairs).agg(
+    return class_scores(pairs, by).groupBy(*by).agg(
         (F.sum("hits") / F.sum("support")).alias("accuracy"),
         f1.alias("f1_macro"),
         precision.alias("precision_macro"),
@@ -145,13 +155,9 @@ def confused_pairs(pairs: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
-def model_summary(pairs_by_model: Sequence[tuple[str, DataFrame]]) -> DataFrame:
-    """One row per model (name, position, four scores), best macro F1 first."""
-    rows = [
-        macro_scores(pairs).select(F.lit(i).alias("ord"), F.lit(name).alias("model"), "*")
-        for i, (name, pairs) in enumerate(pairs_by_model)
-    ]
-    return reduce(DataFrame.unionByName, rows).orderBy(F.desc("f1_macro"), "ord")
+def model_summary(pairs: DataFrame) -> DataFrame:
+    """One row per model (name, position, four scores), best macro F1 first, from `model_pairs`."""
+    return macro_scores(pairs, ["ord", "model"]).orderBy(F.desc("f1_macro"), "ord")
 
 
 def best_model(summary: DataFrame) -> DataFrame:

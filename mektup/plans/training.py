@@ -218,17 +218,48 @@ class Trained:
     seconds: float
 
 
+def score_candidates(data: TrainingSet, fitted: dict[str, list[Transformer]]) -> DataFrame:
+    """Predictions of all candidates on the test side, one row per mail and candidate.
+
+    The candidates stand side by side in one plan, so the test rows are read once.
+    """
+    rows, kept = data.test, data.test.columns
+    for i, stages in enumerate(fitted.values()):
+        scored = with_prediction(PipelineModel(stages).transform(rows), data.labels)
+        rows = scored.select(*kept, F.struct("prediction", "confidence", "probabilities", "top").alias(f"_model_{i}"))
+        kept = rows.columns
+    each = [
+        F.struct(
+            F.lit(i).alias("ord"), F.lit(name).alias("model"),
+            *[F.col(f"_model_{i}.{c}").alias(c) for c in ("prediction", "confidence", "probabilities", "top")],
+        )
+        for i, name in enumerate(fitted)
+    ]
+    return written(rows.select("mail_id", "category", F.inline(F.array(*each))), "predictions")
+
+
+def train_candidates(data: TrainingSet, names: Sequence[str]) -> tuple[dict[str, Trained], DataFrame]:
+    """Fit candidates and score them together; also all (ord, model, truth, prediction) counts."""
+    fitted, seconds = {}, {}
+    for name in names:
+        start = time.time()
+        fitted[name] = CANDIDATES[name](data)
+        seconds[name] = time.time() - start
+    predictions = score_candidates(data, fitted)
+    pairs = written(evaluate.model_pairs(predictions), "pairs")
+    trained = {}
+    for name, stages in fitted.items():
+        model = MailModel(name, data.labels, PipelineModel(data.feature_stages + stages), data.config)
+        own = F.col("model") == name
+        trained[name] = Trained(
+            model, predictions.filter(own).drop("ord", "model"), pairs.filter(own).drop("ord", "model"), seconds[name]
+        )
+    return trained, pairs
+
+
 def train_candidate(data: TrainingSet, name: str) -> Trained:
-    """Fit one candidate, score the test side once and count its (truth, prediction) pairs."""
-    start = time.time()
-    stages = CANDIDATES[name](data)
-    model = MailModel(name, data.labels, PipelineModel(data.feature_stages + stages), data.config)
-    scored = with_prediction(PipelineModel(stages).transform(data.test), data.labels)
-    predictions = written(
-        scored.select("mail_id", "category", "prediction", "confidence", "probabilities", "top"), "predictions"
-    )
-    pairs = evaluate.pair_counts(predictions)
-    return Trained(model, predictions, pairs, time.time() - start)
+    """Fit one candidate and score the test side."""
+    return train_candidates(data, [name])[0][name]
 
 
 @dataclass
@@ -261,8 +292,8 @@ def compare_models(
 ) -> Comparison:
     """Train every candidate on the same split and pick the best macro F1."""
     data = build_training_set(mails, config)
-    trained = {name: train_candidate(data, name) for name in names}
-    summary = evaluate.model_summary([(name, t.pairs) for name, t in trained.items()])
+    trained, pairs = train_candidates(data, names)
+    summary = evaluate.model_summary(pairs)
     best = evaluate.best_model(summary).first()["model"]
     return Comparison(trained, summary, trained[best])
 
