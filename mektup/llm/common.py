@@ -10,6 +10,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`texts` with the `row_key` of each row as ``key``."""
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        row_key(id_col, text_col).alias("key"),
+    )
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, as ``doc_id`` and ``text``; a null text counts as empty.
 
@@ -51,3 +60,26 @@ BROADCAST_IDS = 1_000_000
 def small_first(rows: DataFrame, ids: DataFrame, condition: Column | str, how: str) -> DataFrame:
     """Join to a written table of narrow rows, which is broadcast only after its rows were counted."""
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, condition, how)
+
+
+KEY = "struct<none: boolean, id: bigint, hash: bigint, other: bigint>"
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells a row from others: its id, null or not, and two hashes of its text (null counts as empty).
+
+    Keys order by id, null ids last, so the least key of a group belongs to its least id.
+    """
+    own, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    return F.struct(
+        own.isNull().alias("none"),
+        F.coalesce(own, F.lit(0).cast("long")).alias("id"),
+        F.xxhash64(text).alias("hash"),
+        F.xxhash64(F.lit("other"), text).alias("other"),
+    )
+
+
+def rows_without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose `row_key` is not in the written table ``gone`` (key)."""
+    marked = docs.select(F.struct(*docs.columns).alias("row"), row_key(id_col, text_col).alias("own"))
+    return small_first(marked, gone.select("key"), F.col("own") == F.col("key"), "left_anti").select("row.*")

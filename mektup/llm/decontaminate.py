@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -12,11 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mektup.llm.common import small_first, texts
+from mektup.llm.common import KEY, keyed_texts, rows_without, texts
 from mektup.session import written
 
 HITS = "doc_id long, item_id long, matched long, aligned long, doc_word long, item_word long"
-WORD = re.compile(r"\w+")
+#: Scripts that put no blanks between words: each of their characters stands for a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
 
 
 @dataclass(frozen=True)
@@ -29,8 +32,11 @@ class Seeds:
     classes: int = 4
     #: An overlap has at least `span` aligned words (or the whole of a shorter item) of which this share is equal.
     share: float = 0.8
-    #: Items with fewer words are too short to tell a leak from common speech and are not searched.
-    least: int = 5
+    #: Items with fewer words are too short to tell a leak from common speech: they overlap only with a text that is the item.
+    least: int = 3
+    #: Pairs of places of one hash beyond which their differences come from a correlation, and words searched at once.
+    pairs: int = 50_000
+    batch_words: int = 200_000
     #: Characters of items that one index may hold; a larger benchmark is searched in several blocks.
     block_chars: int = 16_000_000
 
@@ -43,6 +49,22 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def differences(starts: np.ndarray, places: np.ndarray, pairs: int) -> np.ndarray:
+    """All values of start - place, each once, without laying out more than ``pairs`` of them.
+
+    Repeated words give many pairs and few differences; those are read off the correlation of the two sets.
+    """
+    if len(starts) * len(places) <= pairs:
+        return np.unique(np.subtract.outer(starts, places))
+    low, high = int(starts.min() - places.max()), int(starts.max() - places.min())
+    size = 1 << (high - low).bit_length()
+    one, two = np.zeros(size), np.zeros(size)
+    one[starts - starts.min()] = 1
+    two[places.max() - places] = 1
+    met = np.fft.irfft(np.fft.rfft(one) * np.fft.rfft(two), size)
+    return np.flatnonzero(met[: high - low + 1] > 0.5) + low
+
+
 class Index:
     """Seed hashes of a block of items, and the search of documents by them."""
 
@@ -50,9 +72,13 @@ class Index:
         self.seeds = seeds
         self.vocabulary: dict[str, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
+        #: Items that only a whole text can be.
+        self.short: dict[tuple[str, ...], list[int]] = {}
         for item, text in items:
             found = words(text)
-            if len(found) >= seeds.least:
+            if found and len(found) < seeds.least:
+                self.short.setdefault(tuple(found), []).append(item)
+            elif found:
                 ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in found]
                 self.items.append((item, np.array(ids, dtype=np.int64)))
         self.masks = [(seeds.span, m) for m in seeds.masks()]
@@ -89,7 +115,11 @@ class Index:
     def search(self, doc_ids: list, docs: list[str]) -> Iterator[tuple]:
         """Rows of HITS: for each document and item the best overlap, if there is one."""
         look = self.vocabulary.get
-        lists = [[look(w, -1) for w in words(t)] for t in docs]
+        found_words = [words(t) for t in docs]
+        for own, found in zip(doc_ids, found_words):
+            for item in self.short.get(tuple(found), ()) if len(found) < self.seeds.least else ():
+                yield own, item, len(found), len(found), 0, 0
+        lists = [[look(w, -1) for w in found] for found in found_words]
         lengths = np.array([len(x) for x in lists], dtype=np.int64)
         gap = self.seeds.span  # unknown words between documents keep spans inside one
         ids = np.full(int(lengths.sum()) + gap * len(docs), -1, dtype=np.int64)
@@ -97,8 +127,8 @@ class Index:
         for begin, found in zip(begins.tolist(), lists):
             ids[begin : begin + len(found)] = found
         known = ids >= 0
-        # (document of the hit, item, where in ids the item would begin); the last may lie documents before the first
-        diagonals = set()
+        # by document of the hit and item: where in ids the item would begin, which may lie documents before
+        diagonals: dict[tuple[int, int], list[np.ndarray]] = {}
         for (length, mask), (hashes, numbers, places) in zip(self.masks, self.tables):
             if not len(hashes) or len(ids) < length:
                 continue
@@ -108,41 +138,55 @@ class Index:
             starts = np.flatnonzero(usable)
             wanted = self._hash(ids, starts, mask)
             low, high = np.searchsorted(hashes, wanted, "left"), np.searchsorted(hashes, wanted, "right")
-            counts = high - low
-            hit = np.flatnonzero(counts)
-            if not len(hit):
-                continue
-            counts = counts[hit]
-            entry = np.repeat(low[hit] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-            start = np.repeat(starts[hit], counts)
+            hit = np.flatnonzero(high > low)
             # words that count are known, so all of a hit's lie in the document of the first of them
-            doc = np.searchsorted(begins, start + mask[0], "right") - 1
-            diagonals.update(zip(doc.tolist(), numbers[entry].tolist(), (start - places[entry]).tolist()))
-        best: dict[tuple[int, int], tuple] = {}
-        for d, number, diagonal in sorted(diagonals):
-            ids_of_item = self.items[number][1]
-            begin, end = int(begins[d]), int(begins[d] + lengths[d])
-            low, high = max(diagonal, begin), min(diagonal + len(ids_of_item), end)
-            found = self._overlap(ids[low:high] == ids_of_item[low - diagonal : high - diagonal], len(ids_of_item))
+            doc = np.searchsorted(begins, starts[hit] + mask[0], "right") - 1
+            # places of one hash in one document, together
+            order = np.lexsort((starts[hit], doc, low[hit]))
+            hit, doc = hit[order], doc[order]
+            new = np.flatnonzero((np.diff(low[hit], prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+            for begin, end in zip(new.tolist(), [*new[1:].tolist(), len(hit)]):
+                entries = slice(int(low[hit[begin]]), int(high[hit[begin]]))
+                of = numbers[entries]
+                for number in np.unique(of).tolist():
+                    found = differences(starts[hit[begin:end]], places[entries][of == number], self.seeds.pairs)
+                    diagonals.setdefault((int(doc[begin]), number), []).append(found)
+        for (d, number), found in sorted(diagonals.items()):
+            best = self._best(ids, int(begins[d]), int(begins[d] + lengths[d]), number, np.unique(np.concatenate(found)))
+            if best:
+                matched, aligned, place, item_place = best
+                yield doc_ids[d], self.items[number][0], matched, aligned, place, item_place
+
+    def _best(self, ids: np.ndarray, begin: int, end: int, number: int, diagonals: np.ndarray) -> tuple[int, int, int, int] | None:
+        """The best overlap of a document with an item over the given diagonals, the longest of these first."""
+        item = self.items[number][1]
+        lows, highs = np.maximum(diagonals, begin), np.minimum(diagonals + len(item), end)
+        best: tuple = (0,)
+        for k in np.lexsort((lows, lows - highs)).tolist():
+            diagonal, low, high = int(diagonals[k]), int(lows[k]), int(highs[k])
+            if high - low < best[0]:
+                break  # shorter than what is matched already
+            if best[0] == len(item) and -best[1] == len(item) and low - begin >= -best[2]:
+                continue  # nothing beats the whole item further left
+            found = self._overlap(ids[low:high] == item[low - diagonal : high - diagonal], len(item))
             if found:
                 matched, aligned, offset = found
-                row = (matched, -aligned, -(low + offset - begin), aligned, low - diagonal + offset)
-                if row > best.get((d, number), (0,)):
-                    best[d, number] = row
-        for (d, number), (matched, _, place, aligned, item_place) in best.items():
-            yield doc_ids[d], self.items[number][0], matched, aligned, -place, item_place
+                best = max(best, (matched, -aligned, -(low + offset - begin), low - diagonal + offset))
+        return (best[0], -best[1], -best[2], best[3]) if best[0] else None
 
     def _overlap(self, equal: np.ndarray, item_words: int) -> tuple[int, int, int] | None:
         """Best stretch of aligned words (equal, aligned, first), where unequal words cost what `share` makes them cost."""
-        cost = self.seeds.share / (1 - self.seeds.share)
-        score, begin, best = 0.0, 0, (0.0, 0, 0)
-        for k, same in enumerate(equal.tolist()):
-            if score <= 0:
-                score, begin = 0.0, k
-            score += 1.0 if same else -cost
-            if score > best[0]:
-                best = (score, begin, k + 1)
-        _, begin, end = best
+        # whole numbers: an equal word earns what is left of the share, an unequal one costs the share
+        share = round(self.seeds.share * 1000)
+        sums = np.concatenate([[0], np.cumsum(np.where(equal, 1000 - share, -share))])
+        least = np.minimum.accumulate(sums)
+        gains = sums[1:] - least[:-1]
+        at = int(gains.argmax()) if len(gains) else 0
+        if not len(gains) or gains[at] <= 0:
+            return None if len(equal) < min(self.seeds.span, item_words) else self._whole(equal, item_words)
+        # the stretch begins after the last of the least sums before its end
+        end = at + 1
+        begin = int(np.flatnonzero(sums[:end] == least[at])[-1])
         if end - begin < min(self.seeds.span, item_words):
             return self._whole(equal, item_words)
         return int(equal[begin:end].sum()), end - begin, begin
@@ -168,10 +212,22 @@ def overlaps(
     equal; doc_word and item_word tell where the stretch begins, in words.
 
     The benchmark is a query set: its items go to the tasks in blocks of bounded size, one pass
-    over the documents for each block, and documents are neither shuffled nor collected. Null and
-    empty texts and items with fewer than `least` words overlap with nothing; repeated items and
-    documents each count; null ids are kept. Empty tables give an empty result.
+    over the documents for each block, and documents are neither shuffled nor collected. Each
+    character of a script without blanks is a word. Items with fewer than `least` words overlap
+    with a text that is the item and nothing else. Null and empty texts overlap with nothing;
+    repeated items and documents each count; null ids are kept; very long texts and repeated
+    words are searched whole. Empty tables give an empty result.
     """
+    return _overlaps(texts(docs, id_col, text_col), benchmark, seeds, "doc_id long")
+
+
+#: The last block's index of this worker process, which tasks after the first find ready.
+_READY: dict[str, Index] = {}
+
+
+def _overlaps(rows: DataFrame, benchmark: DataFrame, seeds: Seeds, own: str) -> DataFrame:
+    """Overlaps of ``rows`` (own column, text), which carry the first column along as it is."""
+    schema = HITS.replace("doc_id long", own)
     items = benchmark.select(
         F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")
     )
@@ -180,30 +236,37 @@ def overlaps(
     result = None
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        held = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in part.collect()])
+        held = rows.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in part.collect()])
+        name = uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = None
+        def run(batches: Iterator[pa.RecordBatch], held=held, name=name) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                index = index or Index(held.value, seeds)
-                ids, text = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                rows: list[tuple] = []
-                for at in range(0, len(ids), 256):
-                    rows.extend(index.search(ids[at : at + 256], text[at : at + 256]))
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x, pa.int64()) for x in zip(*rows)], [x.split()[0] for x in HITS.split(", ")]
-                    )
-
-        found = texts(docs, id_col, text_col).mapInArrow(run, HITS)
+                if name not in _READY:
+                    _READY.clear()
+                    _READY[name] = Index(held.value, seeds)
+                text = batch.column(1).to_pylist()
+                found: list[tuple] = []
+                # whole documents, up to a number of words (a word takes at least two characters, mostly six)
+                at, sizes = 0, np.cumsum([len(x) for x in text])
+                while at < len(text):
+                    limit = (int(sizes[at - 1]) if at else 0) + 6 * seeds.batch_words
+                    end = min(at + 256, max(at + 1, int(np.searchsorted(sizes, limit, "right"))))
+                    found.extend(_READY[name].search(list(range(at, end)), text[at:end]))
+                    at = end
+                if found:
+                    places, *columns = (pa.array(x, pa.int64()) for x in zip(*found))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(places), *columns], [x.split()[0] for x in HITS.split(", ")])
+
+        found = rows.mapInArrow(run, schema)
         result = found if result is None else result.unionByName(found)
     return result
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds()) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text overlaps with no benchmark item; rows without an id are judged too."""
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    # an id of its own for each (id, text), so that rows that share an id are judged by their own text
-    numbered = docs.select(F.xxhash64(F.col("doc_id"), key).alias("doc_id"), "text")
-    leaks = written(overlaps(numbered, benchmark, seeds).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return small_first(docs, leaks, F.xxhash64(F.col("doc_id"), key) == F.col("_leak"), "left_anti")
+    """The rows of ``docs``, all columns, whose text overlaps with no benchmark item.
+
+    Rows are judged by id and text together, those without an id too; empty tables drop nothing.
+    """
+    keyed = keyed_texts(docs).select(F.col("key").alias("doc_id"), "text")
+    leaks = _overlaps(keyed, benchmark, seeds, f"doc_id {KEY}").select(F.col("doc_id").alias("key")).distinct()
+    return rows_without(docs, written(leaks, "leaks"))

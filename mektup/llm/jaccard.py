@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mektup.llm.common import partitions, small_first, texts
+from mektup.llm.common import KEY, keyed_texts, partitions, row_key, rows_without, small_first
 from mektup.llm.groups import Forest, components, grouped
 from mektup.session import written
 
@@ -95,7 +95,7 @@ def _functions(s: Settings) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signed(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, set (a digest of the shingles; null without any), n and the signature, tree by tree."""
+    """doc_id, key, set (a digest of the shingles; null without any), n and the signature, tree by tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _functions(s)
@@ -109,11 +109,14 @@ def _signed(docs: DataFrame, s: Settings) -> DataFrame:
                 sets.append(_digest(found))
                 signatures.append(signature(found, hashes).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signatures, pa.binary())],
-                ["doc_id", "set", "n", "signature"],
-            )
+                [
+                    batch.column(0), batch.column(2), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32()),
+                    pa.array(signatures, pa.binary()),
+                ],
+                ["doc_id", "key", "set", "n", "signature"],
+            )
 
-    return docs.mapInArrow(run, "doc_id long, set binary, n int, signature binary")
+    return docs.mapInArrow(run, f"doc_id long, key {KEY}, set binary, n int, signature binary")
 
 
 def _blocked(rows: DataFrame, key: str, sizes: DataFrame, node: Column) -> DataFrame:
@@ -129,35 +132,60 @@ def _blocked(rows: DataFrame, key: str, sizes: DataFrame, node: Column) -> DataF
     )
 
 
+def trie_links(labels: np.ndarray, signatures: np.ndarray, shortest: int, need: float) -> Iterator[tuple[int, int]]:
+    """Candidate links (row, earlier row) of some rows in the order of their labels, a spanning forest of them.
+
+    The sorted labels are a prefix trie. Rows that share the whole label meet first; then the
+    prefix is shortened by one hash after the other, which joins neighbouring runs, down to
+    ``shortest``. Rows that are not yet connected are candidates when their signatures agree in
+    ``need`` places.
+    """
+    group = np.arange(len(labels))
+    for length in range(labels.shape[1], shortest - 1, -1):
+        changed = (labels[1:, :length] != labels[:-1, :length]).any(axis=1)
+        borders = [0, *(np.flatnonzero(changed) + 1).tolist(), len(labels)]
+        for begin, end in zip(borders[:-1], borders[1:]):
+            for k in range(begin, end - 1):
+                others = np.flatnonzero(group[k + 1 : end] != group[k]) + k + 1
+                if not len(others):
+                    continue
+                for other in others[(signatures[others] == signatures[k]).sum(axis=1) >= need].tolist():
+                    if group[other] != group[k]:
+                        group[group == group[other]] = group[k]
+                        yield other, k
+
+
 def _candidates(kinds: DataFrame, s: Settings) -> DataFrame:
     """Edges (a, b) that join all sets whose prefixes meet in a tree and whose signatures agree often enough.
 
-    Each tree's labels are grouped by prefix. A group, or a pair of blocks of a large one, goes to
-    one task, which returns a spanning forest of its candidate pairs, so fewer rows than it got.
+    Each tree's labels are dealt by the shortest prefix that the recall asks for, so that whatever
+    shares a longer one lies together, and sorted. A trie, or a pair of blocks of a large one,
+    goes to one task, which climbs it from the longest prefixes and returns a spanning forest of
+    its candidate pairs, so fewer rows than it got.
     """
-    length, width = s.prefix(), s.depth * 4
+    shortest, width = s.prefix(), s.depth * 4
     labels = F.transform(
         F.sequence(F.lit(0), F.lit(s.trees - 1)),
-        lambda t: F.xxhash64(t, F.substring(F.col("signature"), t * width + 1, F.lit(length * 4))),
+        lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.substring(F.col("signature"), t * width + 1, F.lit(shortest * 4))).alias("bucket")),
     )
-    members = kinds.select("set", F.explode(labels).alias("bucket"))
+    members = kinds.select("set", F.inline(labels))
     sizes = members.groupBy("bucket").count().where("count > 1")
     sizes = sizes.select("bucket", F.ceil(F.col("count") / s.block_rows).cast("int").alias("blocks"))
     # Most labels meet no other: signatures join only after these are gone.
-    shared = _blocked(members, "bucket", sizes, F.col("set")).select("bucket", "i", "j", "set")
-    dealt = shared.join(kinds.select("set", "signature"), "set").select("bucket", "i", "j", "set", "signature")
-    ordered = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "set")
+    shared = _blocked(members, "bucket", sizes, F.col("set")).select("bucket", "i", "j", "tree", "set")
+    dealt = shared.join(kinds.select("set", "signature"), "set").select(
+        "bucket", "i", "j", F.substring("signature", F.col("tree") * width + 1, F.lit(width)).alias("label"), "set", "signature"
+    )
+    ordered = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "label", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def numbers(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+            return np.frombuffer(b"".join(column.to_pylist()), dtype=">u4").reshape(rows, -1).astype("<u4")
+
         for group in grouped(batches, 3):
             nodes = group.column("set").to_pylist()
-            values = np.frombuffer(b"".join(group.column("signature").to_pylist()), dtype=">u4").reshape(len(nodes), -1).astype("<u4")
-            forest = Forest(len(nodes))
-            need = s.agreement * values.shape[1]
-            for k in range(len(nodes) - 1):
-                for other in np.flatnonzero((values[k + 1 :] == values[k]).sum(axis=1) >= need).tolist():
-                    forest.join(k, k + 1 + other)
-            pairs = [(nodes[k], nodes[r]) for k in range(len(nodes)) if (r := forest.root(k)) != k]
+            label, values = (numbers(group.column(c), len(nodes)) for c in ("label", "signature"))
+            pairs = [(nodes[a], nodes[b]) for a, b in trie_links(label, values, shortest, s.agreement * values.shape[1])]
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*pairs)], ["a", "b"])
 
@@ -242,17 +270,29 @@ def classes(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", t
     and empty ones too) have no links and are classes of their own. Null ids are least-known: a
     class has one only if none of its rows has an id. Rows that repeat count as copies.
 
-    Documents with equal shingles are one node. Nodes whose label prefixes meet in a tree and
-    whose signatures agree often form clusters; within a cluster every pair is verified exactly,
+    Documents with equal shingles are one node. Each tree sorts the nodes' labels into a prefix
+    trie. Nodes that share a prefix, the longest first, and whose signatures agree often form clusters; within a cluster every pair is verified exactly,
     in blocks, so pairs are never rows of a table. Prefixes are shortened until the expected
     recall at the least similarity reaches ``s.recall``.
     """
-    narrow = texts(docs, id_col, text_col)
+    known, signed = _classed(keyed_texts(docs, id_col, text_col), s)
+    each = known.select("set", F.col("rep").alias("rep_id"), "class_id", "n_links")
+    own = signed.where(F.col("set").isNull()).select(
+        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("rep_id")
+    )
+    return signed.select("doc_id", "set").join(each, "set").select("doc_id", "class_id", "n_links", "rep_id").union(own)
+
+
+def _classed(narrow: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(set, rep, class_id, n_links, keeper) of every set of shingles, and the signed rows; keeper is the least key of the class."""
     signed = written(_signed(narrow, s), "signatures")
     kinds = written(
         signed.where(F.col("set").isNotNull())
         .groupBy("set")
-        .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("signature").alias("signature")),
+        .agg(
+            F.min("doc_id").alias("rep"), F.min("key").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"),
+            F.max("signature").alias("signature"),
+        ),
         "shingle-sets",
     )
     clusters = written(components(_candidates(kinds, s)), "clusters")
@@ -269,24 +309,31 @@ def classes(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", t
     roots = components(verified.select(F.col("set").alias("a"), F.col("peer").alias("b")))
     links = verified.groupBy("set").agg(F.sum("links").alias("links"))
     known = (
-        kinds.select("set", "rep", "copies")
+        kinds.select("set", "rep", "first", "copies")
         .join(links, "set", "left")
         .join(roots.withColumnRenamed("node", "set"), "set", "left")
         .withColumn("root", F.coalesce("root", "set"))
     )
     known = written(known, "linked-sets")
-    named = known.groupBy("root").agg(F.min("rep").alias("class_id"))
-    each = known.join(named, "root").select(
-        "set", F.col("rep").alias("rep_id"), "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
-    )
-    own = signed.where(F.col("set").isNull()).select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("rep_id")
-    )
-    return signed.select("doc_id", "set").join(each, "set").select("doc_id", "class_id", "n_links", "rep_id").union(own)
+    named = known.groupBy("root").agg(F.min("rep").alias("class_id"), F.min("first").alias("keeper"))
+    links = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+    return known.join(named, "root").select("set", "rep", "class_id", links, "keeper"), signed
 
 
 def keep_one(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without those of which the class has a lesser id; rows without an id stay."""
-    found = classes(docs, s, id_col, text_col)
-    gone = written(found.where(F.col("doc_id") > F.col("class_id")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return small_first(docs, gone, docs[id_col] == gone["_gone"], "left_anti")
+    """The rows of ``docs``, all columns, one of each class of near copies: that with the least id, null ids last.
+
+    Rows are told apart by id and text together. Of rows that repeat both, one stays. Texts
+    without a word are classes of their own and all stay. An empty table gives no rows.
+    """
+    known, signed = _classed(keyed_texts(docs, id_col, text_col), s)
+    rows = signed.where(F.col("set").isNotNull()).select("set", "key")
+    gone = rows.join(known.select("set", "keeper"), "set").where("key <> keeper").select("key").distinct()
+    kept = rows_without(docs, written(gone, "near-copies"), id_col, text_col)
+    twice = written(rows.groupBy("key").count().where("count > 1").select("key"), "repeated-rows")
+    if twice.isEmpty():
+        return kept
+    marked = kept.select(F.struct(*kept.columns).alias("row"), row_key(id_col, text_col).alias("own"))
+    same = F.col("own") == F.col("key")
+    one = small_first(marked, twice, same, "left_semi").dropDuplicates(["own"])
+    return small_first(marked, twice, same, "left_anti").union(one).select("row.*")

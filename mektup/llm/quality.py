@@ -14,7 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mektup.llm.common import texts
+from mektup.llm.common import KEY, keyed_texts, rows_without
 from mektup.session import written
 
 STATISTICS = (
@@ -119,16 +119,21 @@ def measure(text: str) -> tuple[float, ...]:
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the statistics of every row's whole text; a null text counts as empty."""
+    """doc_id, key (`row_key`) and the statistics of every row's whole text.
+
+    A null text counts as empty; rows that repeat count each; very long texts are measured whole;
+    an empty table gives no rows. Other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.array([measure(x) for x in batch.column(1).to_pylist()], dtype=float).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(rows[:, k]) for k in range(len(STATISTICS)))], ["doc_id", *STATISTICS]
+                [batch.column(0), batch.column(2), *(pa.array(rows[:, k]) for k in range(len(STATISTICS)))], ["doc_id", "key", *STATISTICS]
             )
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{x} double" for x in STATISTICS))
+    schema = f"doc_id long, key {KEY}, " + ", ".join(f"{x} double" for x in STATISTICS)
+    return keyed_texts(docs, id_col, text_col).mapInArrow(run, schema)
 
 
 def tree_rules(debug: str) -> list[tuple[Condition, ...]]:
@@ -195,5 +200,14 @@ def fit(measured: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Mod
 
 
 def score(measured: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score (0 to 1) of every measured row."""
-    return measured.select("doc_id", model.score().alias("score"))
+    """doc_id, key and score (0 to 1) of every measured row; rows that repeat get the same score each."""
+    return measured.select("doc_id", "key", model.score().alias("score"))
+
+
+def drop_low(docs: DataFrame, scores: DataFrame, cut: float) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``scores`` (key, score) does not place below ``cut``.
+
+    Rows are judged by id and text together, those without an id by their text.
+    """
+    low = written(scores.where(F.col("score") < cut).select("key").distinct(), "rejected")
+    return rows_without(docs, low)

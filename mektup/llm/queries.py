@@ -56,7 +56,7 @@ def labels_outside(spark: SparkSession, folder: str, column: str, modulus: int,
 
 
 def quality_scores(spark: SparkSession, folder: str, docs: DataFrame) -> DataFrame:
-    """doc_id and score of ``docs``, learnt from the labelled ones among them."""
+    """doc_id, key and score of ``docs``, learnt from the labelled ones among them."""
     measured = written(quality.statistics(docs), "quality-statistics")
     return quality.score(measured, quality.fit(measured, labels_outside(spark, folder, "quality", 5, 0)))
 

@@ -87,3 +87,51 @@ def test_substituted_ends_of_a_fragment_at_the_edge_of_a_document():
         part = words[28:]
         part[at] = "other"
         assert [r[:3] for r in index.search([1, 2, 3], ["", " ".join(part), ""])] == [(2, 7, 11)]
+
+
+def test_repeated_words_against_brute_force(spark):
+    chance = random.Random(21)
+    few = ["x", "y", "z"]
+    items = [(0, "x " * 30), (1, "x y " * 20), (2, " ".join(chance.choices(few, k=40))), (3, "x " * 12 + "y " * 3), (4, "one two three four"), (5, "hi")]
+    docs = [(k, " ".join(chance.choices(few[: chance.randint(1, 3)], k=chance.randint(0, 80)))) for k in range(40)]
+    docs += [(90, "so one two three four ends"), (91, "hi"), (92, "hi there")]
+    for seeds in (d.Seeds(), d.Seeds(pairs=3, batch_words=40)):
+        table = spark.createDataFrame(docs, "doc_id long, text string")
+        rows = d.overlaps(table, spark.createDataFrame(items, "item_id long, text string"), seeds).collect()
+        want = brute(docs, items, seeds) | {(91, 5)}
+        assert {(r["doc_id"], r["item_id"]) for r in rows} == want and len(want) > 40
+
+
+def test_very_many_equal_words_take_seconds():
+    import time
+
+    index = d.Index([(1, "x " * 2000)], d.Seeds())
+    start = time.perf_counter()
+    assert list(index.search([5], ["x " * 200_000])) == [(5, 1, 2000, 2000, 0, 0)]
+    assert time.perf_counter() - start < 20
+
+
+def test_differences_by_correlation():
+    import numpy as np
+
+    chance = np.random.default_rng(3)
+    for _ in range(30):
+        a, b = (np.unique(chance.integers(0, 500, chance.integers(1, 200))) for _ in range(2))
+        assert d.differences(a, b, 0).tolist() == np.unique(np.subtract.outer(a, b)).tolist()
+
+
+def test_short_items_and_scripts_without_blanks(spark):
+    items = [(1, "what is four plus"), (2, "東京は日本の首都です。"), (3, "hi there")]
+    docs = [(1, "What is four, plus!"), (2, "ここで東京は日本の首都です、と言う"), (3, "hi there"), (4, "oh hi there you"), (5, "what is plus four"), (6, "東京")]
+    found = d.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_leaks_are_told_apart_by_id_and_text(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, item), (1, "a clean text under the same id"), (None, item + " more"), (None, "a clean text without an id"), (2, None), (2, None)]
+    docs = spark.createDataFrame([(a, b, 1, 2, 3) for a, b in rows], "doc_id long, text string, _leak int, key int, row int")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = d.drop_leaks(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted((r["text"] or "") for r in kept.collect()) == ["", "", "a clean text under the same id", "a clean text without an id"]

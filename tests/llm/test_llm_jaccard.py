@@ -68,7 +68,7 @@ def test_against_all_pairs(spark):
     kept = jaccard.keep_one(table)
     assert kept.columns == table.columns
     classes = dict((a, b) for a, b, _ in want)
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(a for a, _ in rows if classes[a] == a)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({a for a, _ in rows if classes[a] == a})
 
 
 def test_documents(spark, folder):
@@ -85,6 +85,55 @@ def test_nulls_and_empty_table(spark):
     assert jaccard.keep_one(docs.where("false")).count() == 0
 
 
+def test_rows_are_told_apart_by_id_and_text(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    other = " ".join(f"v{k}" for k in range(60))
+    rows = [
+        (9, base + " a"), (9, other), (3, base + " b"),  # a near copy under an id that a unique text shares
+        (None, "n " * 3 + base.replace("w1 ", "q ")), (None, "alone and unlike all the others"), (None, other + " x"),
+        (5, "the same row twice or more"), (5, "the same row twice or more"), (6, None), (6, ""), (None, None),
+    ]
+    docs = spark.createDataFrame([(a, b, 1, 2, 3) for a, b in rows], "doc_id long, text string, key int, row int, _gone int")
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    want = [(9, other), (3, base + " b"), (None, "alone and unlike all the others"), (5, "the same row twice or more"), (6, None), (6, ""), (None, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_longest_prefixes_meet_first():
+    labels = np.array([[1, 1, 1], [1, 1, 1], [1, 1, 2], [1, 3, 0], [2, 0, 0], [2, 0, 1]])
+    same = np.ones((6, 4))
+    assert list(jaccard.trie_links(labels, same, 1, 4)) == [(1, 0), (2, 0), (5, 4), (3, 0)]
+    assert {tuple(sorted(x)) for x in jaccard.trie_links(labels, same, 3, 4)} == {(0, 1)}
+    apart = same.copy()
+    apart[2] = 0
+    assert (2, 0) not in list(jaccard.trie_links(labels, apart, 1, 4))
+
+
+def measured_recall(pairs=400, words=150):
+    """The share of pairs near the least similarity whose labels share the shortest prefix in some tree."""
+    chance, s = np.random.default_rng(12), jaccard.Settings()
+    hashes, met, near = jaccard._functions(s), 0, 0
+    for _ in range(pairs):
+        common = chance.integers(0, 2**63, words, dtype=np.uint64)
+        sides = [np.concatenate([common, chance.integers(0, 2**63, words // 8, dtype=np.uint64)]) for _ in range(2)]
+        a, b = (jaccard.signature(x, hashes).reshape(s.trees, s.depth)[:, : s.prefix()] for x in sides)
+        near += 1
+        met += bool((a == b).all(axis=1).any())
+    return met / near
+
+
+def test_measured_recall_at_the_least_similarity():
+    assert measured_recall() >= 0.99
+
+
+def test_very_long_texts(spark):
+    chance = random.Random(1)
+    long = ["w%d" % chance.randrange(10**6) for _ in range(120_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(varied(chance, long, 500))), (3, "short text")]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == [(1, 1, 1), (2, 1, 1), (3, 3, 0)]
+
+
 def test_prefix_reaches_the_recall():
     s = jaccard.Settings()
     assert 1 - (1 - s.similarity ** s.prefix()) ** s.trees >= s.recall

@@ -1,6 +1,7 @@
 """Quality, language, toxicity, sharding and the pipeline: held-out accuracy, brute force and odd rows."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 
 import corpus_pipeline
 from mektup.llm import langid, ngrams, quality, sharding, toxicity
+from mektup.llm.common import row_key
 from mektup.llm.queries import language, rule_quality, shard, toxic
 
 BIG = "/root/testdata/sf0.1"
@@ -171,3 +173,56 @@ def test_pipeline_stages(spark, folder):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in docs.collect()}
     assert sorted(tuple(r) for r in pieces if r["start"] == 0) != []
+
+
+def test_pipeline_stages_on_odd_rows(spark, folder):
+    """Null ids, one id with two texts, repeated rows and clashing columns, against plain rules; then an empty table."""
+    from test_llm_decontaminate import brute as leaks
+    from test_llm_jaccard import brute as near
+
+    source = spark.read.parquet(f"{folder}/documents.parquet").orderBy("doc_id").collect()
+    rows = [(r["doc_id"], r["text"]) for r in source[:60]] + [(None, r["text"]) for r in source[40:90]]
+    rows += [(r["doc_id"], source[(k * 7) % 100]["text"]) for k, r in enumerate(source[:30])] + [rows[3], rows[70], (7, None), (None, ""), (7, "")]
+    names = "doc_id long, text string, _leak int, _low int, _gone int, key int, row int, score double"
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4, 5, 0.0) for r in rows], names)
+    stages = dict(corpus_pipeline.STAGES)
+
+    def told(df):
+        assert df.columns == docs.columns
+        return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+    low = {}
+    for r in corpus_pipeline.quality_scores(spark, folder, docs).collect():
+        low[r["key"]["none"], r["key"]["id"], r["key"]["hash"]] = r["score"] < corpus_pipeline.QUALITY_CUT
+    kept = told(stages["quality classifier"](spark, docs, folder))
+    assert len(kept) == sum(not low[r["k"]["none"], r["k"]["id"], r["k"]["hash"]] for r in docs.select(row_key().alias("k")).collect())
+
+    def plain_exact(rows):
+        groups = {}
+        for own, text in rows:
+            groups.setdefault(" ".join(re.split(r"[\x20\x09-\x0D]+", text or "")) if text else "", []).append((own is None, own or 0))
+        return {(t, min(ids)) for t, ids in groups.items()}
+
+    exact = told(stages["exact dedup"](spark, docs, folder))
+    assert {(" ".join(re.split(r"[\x20\x09-\x0D]+", t or "")) if t else "", (i is None, i or 0)) for i, t in exact} == plain_exact(rows)
+    assert len(exact) == len(plain_exact(rows))
+
+    # the plain version knows rows by number
+    classes = {k: c for k, c, _ in near([(k, t) for k, (_, t) in enumerate(rows)])}
+    members = {}
+    for k, (own, text) in enumerate(rows):
+        if re.search(r"\w", text or ""):
+            members.setdefault(classes[k], []).append((own is None, own or 0))
+    found = told(stages["n-gram Jaccard join"](spark, docs, folder))
+    worded = [(i is None, i or 0) for i, t in found if re.search(r"\w", t or "")]
+    assert sorted(worded) == sorted(min(ids) for ids in members.values())
+    assert len(found) - len(worded) == sum(not re.search(r"\w", t or "") for _, t in rows)
+
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    bad = {k for k, _ in leaks([(k, t) for k, (_, t) in enumerate(rows)], bench)}
+    assert told(stages["benchmark decontamination"](spark, docs, folder)) == sorted((r for k, r in enumerate(rows) if k not in bad), key=str)
+
+    pieces = stages["packing"](spark, docs, folder).collect()
+    assert sum(r["start"] == 0 for r in pieces) == len(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), folder).count() == 0, name
