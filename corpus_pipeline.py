@@ -3,38 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from mektup.llm import decontaminate, exact_dedup, jaccard, packing
-from mektup.llm.common import small_first, table
+from mektup.llm import decontaminate, exact_dedup, jaccard, packing, quality
+from mektup.llm.common import table
 from mektup.llm.queries import QUALITY_CUT, quality_scores, tokenizer_path
 from mektup.session import written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble scores at `QUALITY_CUT` or above; rows without an id stay."""
-    low = quality_scores(spark, sf_dir, docs).where(F.col("score") < QUALITY_CUT).select(F.col("doc_id").alias("_low"))
-    gone = written(low.where(F.col("_low").isNotNull()).distinct(), "rejected")
-    return small_first(docs, gone, docs["doc_id"] == gone["_low"], "left_anti")
+    """Documents that the rule ensemble scores at `QUALITY_CUT` or above; rows are judged by id and text together."""
+    return quality.drop_low(docs, quality_scores(spark, sf_dir, docs), QUALITY_CUT)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text, that with the least id."""
+    """One document of each text, that with the least id (null ids last); of rows that repeat one stays."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, that with the least id."""
+    """One document of each class of near copies, that with the least id (null ids last)."""
     return jaccard.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; rows are judged by id and text together."""
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the token sequences."""
+    """The pieces of the token sequences; rows that repeat are packed each, null texts as empty ones."""
     return packing.pack(docs, tokenizer_path())
 
 
