@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from mektup.llm.common import bounded_sample, texts
 
 KINDS = ("email", "ip", "card", "phone")
+#: What the field tells apart: the kinds of the base patterns, and keys or passwords, which it alone finds.
+FIELD_KINDS = (*KINDS, "secret")
 Span = tuple[int, int, int]  # kind, start, end in code points
 
 
@@ -29,6 +33,10 @@ class Settings:
     certain: float = 0.6
     #: Shortest key that links tokens which repeat.
     key_chars: int = 6
+    #: In rewritten copies of the training texts, the share of features that give a pattern away and are hidden.
+    hidden: float = 0.6
+    #: Tokens whose messages are passed together.
+    batch_tokens: int = 20_000
 
 
 # --- base patterns -------------------------------------------------------------------------------
@@ -79,10 +87,15 @@ def base_spans(text: str) -> list[Span]:
 # --- graph of one text ---------------------------------------------------------------------------
 
 _ACTIVE = re.compile(r"[0-9@]+")
-_EDGE = " \t.,;:!?\"'<>[]{}"
+_EDGE = " \t.,;:!?\"'<>[]{}#$%*&|~^`"
+_SECRET = re.compile(r"(?i)token|secret|passw|pwd|api|key|bearer|auth")
 _CUE = re.compile(r"(?i)tel|phone|call|fax|mail|card|visa|addr|contact")
 _BUCKETS = (2, 4, 5, 8, 12, 16, 20)
-FEATURES = 28
+FEATURES = 32
+#: Features that say outright what the base patterns check: domain, four parts, their range, plus, check digit, cues.
+GIVEAWAY = (2, 3, 4, 16, 19, 23, 26, 28)
+#: Shortest mixture of letters and digits that may be a key.
+SECRET_CHARS = 16
 
 
 @dataclass
@@ -117,14 +130,24 @@ def _features(token: str, left: str, alone_left: bool, alone_right: bool) -> np.
     x[19] = 13 <= len(digits) <= 19 and luhn(digits)
     x[20] = any(c in token for c in "=\"/\\_%$#&*")
     x[21], x[22] = alone_left, alone_right
+    last = left.split(" ")[-1]
     x[23] = bool(_CUE.search(left))
     x[24] = bool(x[6]) and all(c in "0123456789abcdef" for c in core)
     x[25] = core.isupper()
-    x[26] = left.endswith((":", "="))
+    x[26] = last.endswith((":", "="))
     x[27] = len(core) > 20
+    x[28] = bool(_SECRET.search(left))
+    x[29] = _mixed(core)
+    x[30] = len(core) >= SECRET_CHARS and all(c in "0123456789abcdefABCDEF" for c in core)
+    quad = re.split(r"\[?[.,-]\]?", core)
+    x[31] = len(quad) == 4 and all(p.isdigit() and len(p) <= 3 for p in quad)
     return x
 
 
+def _mixed(core: str) -> bool:
+    return len(core) >= SECRET_CHARS and core.isascii() and core.replace("-", "").replace("_", "").isalnum() and any(map(str.isalpha, core))
+
+
 def build(text: str, s: Settings) -> Graph:
     places: list[tuple[int, int]] = []
     end = 0
@@ -145,7 +168,7 @@ def build(text: str, s: Settings) -> Graph:
     for k, (start, end) in enumerate(places):
         token = text[start:end]
         left = text[max(0, start - 24) : start].split()
-        rows.append(_features(token, left[-1] if left else "", k not in follows, k not in leads))
+        rows.append(_features(token, " ".join(left[-2:]), k not in follows, k not in leads))
         digits = _digits(token)
         key = digits if len(digits) >= s.key_chars and "@" not in token else token.strip(_EDGE).lower()
         if len(key) >= s.key_chars:
@@ -156,8 +179,16 @@ def build(text: str, s: Settings) -> Graph:
     return Graph(places, features, chain, skip)
 
 
-def silver(graph: Graph, spans: list[Span]) -> list[int]:
-    """Label of each token: 1 + the kind of the base span it shares most characters with, else 0."""
+UNKNOWN = -1
+
+
+def silver(graph: Graph, spans: list[Span], text: str = "") -> list[int]:
+    """Label of each token: 1 + the kind of the span it shares most characters with, else 0.
+
+    With the ``text`` given, keys after a cue are secrets, and what only looks like one of the
+    kinds is unknown: long numbers, dotted quads, "@" and mixed keys without a cue, which the
+    patterns neither confirm nor rule out.
+    """
     labels = []
     ordered = sorted(spans, key=lambda x: x[1])
     at = 0
@@ -168,12 +199,56 @@ def silver(graph: Graph, spans: list[Span]) -> list[int]:
         for kind, a, b in ordered[max(0, at - 1) : at + 6]:
             best = max(best, (min(end, b) - max(start, a), kind + 1))
         labels.append(best[1] if best[0] > 0 else 0)
+    if text:
+        for k, (start, end) in enumerate(graph.places):
+            if labels[k] == 0:
+                core, x = text[start:end].strip(_EDGE), graph.features[k]
+                if x[29]:
+                    labels[k] = len(FIELD_KINDS) if x[28] else UNKNOWN
+                elif "@" in core or x[3] or (x[7] and len(_digits(core)) >= 9):
+                    labels[k] = UNKNOWN
     return labels
 
 
+def rewritten(text: str, spans: list[Span], chance: random.Random) -> tuple[str, list[Span]]:
+    """The text with its base spans in forms that the patterns miss, and where these stand now."""
+    out, found, at, size = [], [], 0, 0
+    for kind, start, end in sorted(spans, key=lambda x: x[1:]):
+        if start < at:
+            continue
+        old, pick = text[start:end], chance.randrange(3)
+        if kind == 0:
+            name, _, host = old.partition("@")
+            new = (f"{name} @ {host}", f"{name}@{host.split('.')[0]}", f"{name}@ {host}")[pick]
+        elif kind == 1:
+            new = (old.replace(".", ","), old.replace(".", "-"), old.replace(".", "[.]"))[pick]
+        elif kind == 2:
+            digits = _digits(old)
+            digits = digits[:-1] + str((int(digits[-1]) + chance.randrange(1, 10)) % 10)
+            new = (digits, " ".join(digits[k : k + 4] for k in range(0, len(digits), 4)), digits[:8] + "\n" + digits[8:])[pick]
+        else:
+            new = (old[1:].strip(), old[1:].lstrip("0123456789").strip() or old[1:], _digits(old))[pick]
+        out += [text[at:start], new]
+        size += start - at + len(new)
+        found.append((kind, size - len(new), size))
+        at = end
+    return "".join([*out, text[at:]]), found
+
+
+def plain_numbers(words: list[str], chance: random.Random) -> str:
+    """Words with numbers between them that are nobody's data: years, amounts, dates, times, versions."""
+
+    def number() -> str:
+        a, b = chance.randrange(1, 1000), chance.randrange(1, 60)
+        forms = (a, 1900 + b, f"{b}.{b % 10}", f"{b},{a:03d}", f"{b}-{b + 2}", f"20{b % 30:02d}-0{b % 9 + 1}-1{b % 10}", f"{b % 24}:{b:02d}")
+        return str(chance.choice([*forms, f"{b}.", f"{a},", f"({a})", f"{a}{b}00", f"{b}%", f"v{b}.{a % 10}.{b % 7}"]))
+
+    return "".join(f" {w} {number()}" for w in words)
+
+
 # --- the field -----------------------------------------------------------------------------------
 
-LABELS = 1 + len(KINDS)
+LABELS = 1 + len(FIELD_KINDS)
 
 
 @dataclass(frozen=True)
@@ -222,11 +297,16 @@ def propagate(field: Field, features: np.ndarray, edges: np.ndarray, chains: int
 
 
 def fit_field(graphs: list[Graph], labels: np.ndarray, s: Settings) -> Field:
-    """Weights that maximise the likelihood of the labels, its gradient taken from the propagated marginals."""
+    """Weights that maximise the likelihood of the known labels, its gradient taken from the propagated marginals.
+
+    Tokens with an unknown label pass messages like all others and pull at no weight.
+    """
     features, edges, chains = _merge(graphs)
     sizes = (FEATURES * LABELS, LABELS * LABELS, LABELS * LABELS)
     w, first, second = np.zeros(sum(sizes)), np.zeros(sum(sizes)), np.zeros(sum(sizes))
-    target = np.eye(LABELS)[labels]
+    known = labels != UNKNOWN
+    target = np.eye(LABELS)[np.maximum(labels, 0)]
+    both = known[edges[:, 0]] & known[edges[:, 1]] if len(edges) else np.zeros(0, dtype=bool)
     paired = target[edges[:, 0]][:, :, None] * target[edges[:, 1]][:, None, :] if len(edges) else np.zeros((0, LABELS, LABELS))
 
     def field(w: np.ndarray) -> Field:
@@ -235,9 +315,9 @@ def fit_field(graphs: list[Graph], labels: np.ndarray, s: Settings) -> Field:
 
     for step in range(1, s.steps + 1 if len(labels) else 0):
         marginal, joint = propagate(field(w), features, edges, chains, s.sweeps)
-        rest = paired - joint
+        rest = (paired - joint) * both[:, None, None]
         skips = rest[chains:].sum(axis=0)
-        g = np.concatenate([(features.T @ (target - marginal)).ravel(), rest[:chains].sum(axis=0).ravel(), ((skips + skips.T) / 2).ravel()])
+        g = np.concatenate([(features.T @ ((target - marginal) * known[:, None])).ravel(), rest[:chains].sum(axis=0).ravel(), ((skips + skips.T) / 2).ravel()])
         g = g / len(labels) - s.l2 * w
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         w = w + s.rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
@@ -273,9 +353,12 @@ def further_spans(text: str, graph: Graph, marginal: np.ndarray, spans: list[Spa
 
 
 def fit(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """Train on a bounded sample of texts with a digit or "@", labelled by the base patterns.
+    """Train on a bounded sample of texts with a digit or "@".
 
-    Tasks send features, labels and edges, no texts. Without such texts all weights are 0.
+    Each text counts twice: as it is, labelled by the base patterns and by keys that follow a cue,
+    and rewritten, with its spans in forms that the patterns miss and features that give them
+    away hidden at random. So the field learns what such tokens look like and stand next to, not
+    the patterns. Tasks send features, labels and edges, no texts. Without such texts all weights are 0.
     """
     held = texts(docs, id_col, text_col).where(F.col("text").rlike("[0-9@]")).withColumn("one", F.lit(1))
 
@@ -283,9 +366,17 @@ def fit(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_
         for batch in batches:
             rows = []
             for text in batch.column(0).to_pylist():
-                g = build(text, s)
-                labels = silver(g, base_spans(text))
-                rows.append([x.tobytes() for x in (g.features, *(np.array(v, dtype=np.int32) for v in (labels, g.chain, g.skip)))])
+                spans = base_spans(text)
+                chance = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+                other, moved = rewritten(text, spans, chance)
+                other += plain_numbers([w for w in text.split()[:60] if w.isalpha()][:8], chance)
+                for version, of in ((text, spans), (other, moved)):
+                    g = build(version, s)
+                    labels = silver(g, of, version)
+                    if version is other and len(g.features):
+                        hide = np.random.default_rng(chance.getrandbits(32)).random((len(g.features), len(GIVEAWAY))) < s.hidden
+                        g.features[:, GIVEAWAY] *= ~hide
+                    rows.append([x.tobytes() for x in (g.features, *(np.array(v, dtype=np.int32) for v in (labels, g.chain, g.skip)))])
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["features", "labels", "chain", "skip"])
 
@@ -301,11 +392,25 @@ def fit(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_
     return fit_field(graphs, np.concatenate(labels) if labels else np.zeros(0, dtype=int), s)
 
 
+def graphs_of(found: list[str], s: Settings) -> Iterator[tuple[list[str], list[Graph]]]:
+    """Texts with their graphs, up to a number of tokens at a time."""
+    part, graphs, tokens = [], [], 0
+    for text in found:
+        part.append(text)
+        graphs.append(build(text, s))
+        tokens += len(graphs[-1].places)
+        if tokens >= s.batch_tokens or len(part) == 1024:
+            yield part, graphs
+            part, graphs, tokens = [], [], 0
+    if part:
+        yield part, graphs
+
+
 def find(docs: DataFrame, field: Field, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base and added of every row: arrays of (kind, start, end) by kind and start, in code points.
 
-    ``base`` holds the matches of the patterns, ``added`` what the field finds besides: tokens
-    with a digit or "@" whose marginal is certain after messages have passed between neighbours
+    ``base`` holds the matches of the patterns, ``added`` what the field finds besides, of the same
+    kinds or ``secret``: tokens with a digit or "@" whose marginal is certain after messages have passed between neighbours
     and between repeated or similar tokens anywhere in the text. Each such token is tied to the
     one before it with the same key, so a text has as many edges as tokens at most. Null and
     empty texts have no spans; ids may be null or repeat; an empty table gives an empty result.
@@ -314,15 +419,13 @@ def find(docs: DataFrame, field: Field, s: Settings = Settings(), id_col: str =
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def told(spans: list[Span]) -> list[dict]:
-        return [{"kind": KINDS[k], "start": a, "end": b} for k, a, b in sorted(spans)]
+        return [{"kind": FIELD_KINDS[k], "start": a, "end": b} for k, a, b in sorted(spans)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.column(1).to_pylist()
             base, added = [], []
-            for at in range(0, len(found), 256):
-                part = found[at : at + 256]
-                graphs = [build(x, s) for x in part]
+            for part, graphs in graphs_of(found, s):
                 features, edges, chains = _merge(graphs)
                 marginal, _ = propagate(held.value, features, edges, chains, s.sweeps)
                 done = 0

@@ -24,7 +24,7 @@ def tokenizer_path() -> str:
 def personal(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and a digest of the base spans, and all spans as text."""
     docs = table(spark, folder, "documents")
-    order = F.create_map(*[F.lit(x) for k, kind in enumerate(pii.KINDS) for x in (kind, k)])
+    order = F.create_map(*[F.lit(x) for k, kind in enumerate(pii.FIELD_KINDS) for x in (kind, k)])
     spans = F.array_sort(
         F.transform(
             F.concat("base", "added"), lambda x: F.struct(order[x["kind"]].alias("order"), *[x[c].alias(c) for c in ("start", "kind", "end")])
