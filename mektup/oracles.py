@@ -161,6 +161,11 @@ best AS (
   SELECT vec_id, 'class' || lpad(cls::VARCHAR, 2, '0') AS prediction, probability AS confidence
   FROM ranked WHERE r = 1)"""
 
+# CRC-32 of a text's bytes, bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode({0}))),
+  lambda i: ('0x' || hex(array_slice(encode({0}), i + 1, i + 1)))::BIGINT)), lambda a, b: list_reduce(
+  [xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, 3988292384::BIGINT * (r & 1)))), 4294967295::BIGINT)"""
+
 _TRIMMED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 # Packed texts that decode to ten characters or fewer are kept as they arrived.
@@ -488,6 +493,22 @@ pairs AS (
           max(category) FILTER (r = 1) AS prediction,
           string_agg(category || ':' || round(p, 4)::DECIMAL(5, 4)::VARCHAR, ' ' ORDER BY category) AS probabilities
           FROM filled f JOIN picked p ON p.mail_id = f.mail_id + 1000000000000 GROUP BY f.mail_id""",
+        "export_clean_set": with_
+        + CLEAN
+        + """ SELECT category, count(*) AS n, sum(length(text_raw))::BIGINT AS raw_chars,
+          sum(length(text_clean))::BIGINT AS clean_chars, sum("""
+        + _CRC32.format("text_clean")
+        + ")::BIGINT AS clean_crc32 FROM clean GROUP BY category",
+        "evaluation_tables": with_
+        + SCORES
+        + DENSE
+        + " SELECT truth, prediction, n, round(f1, 9) AS f1 FROM dense JOIN cls ON cls.label = truth",
+        "export_tfidf": with_
+        + CLEAN
+        + DUAL_VOCAB
+        + WEIGHTS
+        + """ SELECT kind || ':' || term AS feature, count(*) AS mails, round(sum(weight), 4) AS weight
+          FROM weights JOIN vocab USING (kind, feature_index) GROUP BY ALL""",
         "stream_dedupe": "SELECT event_id, user_id, event_type, value FROM events",
         "store_append": with_
         + MAILS

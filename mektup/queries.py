@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +12,7 @@ from mektup.functions import scores
 from mektup.functions.text import METRIC_NAMES, strip_html
 from mektup.operators import bayes, blocks, curate, evaluate, messages, prepare, split, tfidf
 from mektup.plans import scoring, training
-from mektup.session import shared_dir, spread, written
+from mektup.session import fresh_path, scratch_scope, spread, written
 from mektup.sources import mails as mail_io
 from mektup.sources.envelopes import read_envelopes
 from mektup.streaming.watch import first_seen, watch
@@ -471,7 +470,7 @@ def envelope_files(spark, folder):
     def member(name: str, kind: str = "variant") -> Column:
         return F.when(shape != 0, F.try_variant_get("Content", f"$.{name}", kind)).alias(name)
 
-    path = fresh_dir(spark, "envelopes")
+    path = fresh_path(spark, "envelopes")
     packed_envelopes(spark, folder).select(
         "ID",
         F.when(shape == 0, F.col("Content")).when(shape == 2, F.parse_json(F.lit("{}"))).alias("Content"),
@@ -515,14 +514,10 @@ def block_records(spark, folder):
 # --- sources and sinks -----------------------------------------------------------------------
 
 
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query
 def csv_round_trip(spark, folder):
     """Complete mails written as CSV and read back with the labelled-mail reader."""
-    path = fresh_dir(spark, "csv")
+    path = fresh_path(spark, "csv")
     rows = mails(spark, folder).dropna()
     mail_io.write_mails(rows, path, "csv")
     return mail_io.read_mail_csv(spark, path).select("mail_id", "category", "subject", "body")
@@ -531,20 +526,74 @@ def csv_round_trip(spark, folder):
 @query
 def store_append(spark, folder):
     """Open an empty store, append all mails twice, read back what is stored."""
-    path = fresh_dir(spark, "store")
+    path = fresh_path(spark, "store")
     store = mail_io.read_or_create_mails(spark, f"{path}/0")
     rows = mails(spark, folder).select("category", "subject", "body", "mail_id")
     once = written(curate.append_mails(store, rows, "mail_id"), "store")
     return curate.append_mails(once, rows, "mail_id").groupBy("category").agg(F.count("*").alias("n"))
 
 
+@query
+def export_clean_set(spark, folder):
+    """The cleaned set written as CSV with raw and clean text and read back: rows and digests by category."""
+    with scratch_scope(spark):
+        path = fresh_path(spark, "clean-csv")
+        mail_io.write_mails(clean(spark, folder).select("mail_id", "category", "subject", "body", "text_raw", "text_clean"), path, "csv")
+        back = mail_io.read_mail_csv(spark, path)
+        told = back.groupBy("category").agg(
+            F.count("*").alias("n"),
+            F.sum(F.length("text_raw")).alias("raw_chars"),
+            F.sum(F.length("text_clean")).alias("clean_chars"),
+            F.sum(F.crc32(F.col("text_clean").cast("binary"))).alias("clean_crc32"),
+        )
+        # one row for each category
+        return spark.createDataFrame(told.collect(), told.schema)
+
+
+@query
+def evaluation_tables(spark, folder):
+    """All evaluation tables of a classifier written as CSV; the confusion matrix and the report read back."""
+    with scratch_scope(spark):
+        path = fresh_path(spark, "evaluation")
+        pairs = written(rule_pairs(spark, folder), "pairs")
+        evaluate.write_reports(
+            path,
+            {
+                "classification_report": evaluate.classification_report(pairs),
+                "confusion_matrix_raw": evaluate.confusion_pivot(pairs),
+                "confused_pairs": evaluate.confused_pairs(pairs),
+            },
+        )
+        report = spark.read.csv(f"{path}/classification_report.csv", header=True, inferSchema=True)
+        matrix = spark.read.csv(f"{path}/confusion_matrix_raw.csv", header=True, inferSchema=True)
+        labels = [c for c in matrix.columns if c != "truth"]
+        cells = matrix.select("truth", F.inline(F.array(*[F.struct(F.lit(c).alias("prediction"), F.col(c).cast("long").alias("n")) for c in labels])))
+        # labels and pairs of labels only
+        of_label = report.select(F.col("label").alias("truth"), F.round("f1", 9).alias("f1"))
+        told = cells.join(F.broadcast(of_label), "truth")
+        return spark.createDataFrame(told.collect(), told.schema)
+
+
+@query
+def export_tfidf(spark, folder):
+    """The TF-IDF matrix and its feature names written and read back: mails and weight of every feature."""
+    with scratch_scope(spark):
+        path = fresh_path(spark, "tfidf")
+        tfidf.export_tfidf(written_clean(spark, folder), path)
+        names = spark.read.parquet(f"{path}/feature_names")
+        told = spark.read.parquet(f"{path}/matrix").groupBy("feature_index").agg(F.count("*").alias("mails"), F.sum("weight").alias("weight"))
+        told = names.join(told, "feature_index").select("feature", "mails", F.round("weight", 4).alias("weight"))
+        # as many rows as the vocabulary may have terms
+        return spark.createDataFrame(told.collect(), told.schema)
+
+
 @query
 def stream_dedupe(spark, folder):
     """All events arriving twice in a stream; each leaves once."""
     source = table(spark, folder, "events")
     stream = spark.readStream.schema(source.schema).parquet(f"{folder}/events.parquet*")
     both = stream.unionByName(stream)
-    path = fresh_dir(spark, "stream")
+    path = fresh_path(spark, "stream")
     running = (
         first_seen(both, "event_id")
         .select("event_id", "user_id", "event_type", "value")
@@ -619,7 +668,7 @@ def calibrated_probs(spark, folder):
 @query
 def score_mails(spark, folder):
     """A saved and reloaded model applied to every mail, with fallback below 0.6."""
-    path = fresh_dir(spark, "artifact")
+    path = fresh_path(spark, "artifact")
     scoring.save_artifact(trained(spark, folder, "Naive Bayes").model, path)
     scored = scoring.score(mails(spark, folder), scoring.load_artifact(spark, path), 0.6)
     return scored.select(
@@ -634,7 +683,7 @@ def score_mails(spark, folder):
 @query
 def stream_score(spark, folder):
     """All documents landing as envelopes, scored once each by the streaming job."""
-    path = fresh_dir(spark, "watch")
+    path = fresh_path(spark, "watch")
     packed_envelopes(spark, folder).drop("Created").write.json(f"{path}/landing")
     model = trained(spark, folder, "Naive Bayes").model
     watch(spark, f"{path}/landing", f"{path}/log", f"{path}/checkpoint", model, None).awaitTermination()

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,20 +43,51 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
+    if re.match(r"local(\[.*\])?$", spark.sparkContext.master):
         path = tempfile.mkdtemp(prefix="mektup-")
         spark.conf.set("spark.checkpoint.dir", path)
         return path
     raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
 
 
+#: Paths made inside each open `scratch_scope`, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table through the Hadoop file system it lies in."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside are deleted at the end; collect or write results before it."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        for path in paths:
+            delete(spark, path)
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, which the innermost open scope deletes at its end."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder once and return a reader of the written table.
 
     This cuts the lineage with data that outlives any executor, so later iterations neither
-    recompute the input nor depend on cached blocks.
+    recompute the input nor depend on cached blocks. Inside a `scratch_scope` the table goes at its end.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,6 +13,9 @@ from mektup.plans.scoring import MailModel, score
 from mektup.sources.envelopes import stream_envelopes, with_id
 
 BODY_KEPT = 500
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+#: Keeps keys on disk, so that their number is not bounded by an executor's memory.
+ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def first_seen(stream: DataFrame, key: str, event_time: str | None = None, within: str | None = None) -> DataFrame:
@@ -41,6 +46,19 @@ def result_records(
     )
 
 
+def write_once(log: str, fmt: str = "json") -> Callable[[DataFrame, int], None]:
+    """A sink for micro-batches with a folder for each batch id, which a repeated batch replaces.
+
+    A batch that ran and was not yet committed when the job died runs again under its id with the
+    same input, so whatever reads the log finds every record once.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").format(fmt).save(f"{log}/batch_id={batch_id}")
+
+    return write
+
+
 def watch(
     spark: SparkSession,
     landing: str,
@@ -55,10 +73,17 @@ def watch(
     """Start scoring new envelope files in ``landing`` and appending records to ``log``.
 
     The model is loaded once by the caller. ``interval=None`` works off what is there and stops.
-    A message counts as seen as soon as it was read, whether or not it could be classified.
+    A message counts as seen as soon as it was read, whether or not it could be classified. The
+    ids seen are kept in a state store on disk, and the log is written once for each batch, also
+    when the job is killed and started again from its checkpoint.
     """
     fresh = first_seen(with_id(stream_envelopes(spark, landing)), "ID", "Created", within)
     records = result_records(fresh, model, min_confidence)
-    writer = records.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint)
+    writer = records.writeStream.foreachBatch(write_once(log, fmt)).option("checkpointLocation", checkpoint)
     timing = {"availableNow": True} if interval is None else {"processingTime": interval}
-    return writer.trigger(**timing).start(log)
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ON_DISK)  # a query keeps the settings it was started with
+    try:
+        return writer.trigger(**timing).start()
+    finally:
+        spark.conf.set(STATE_STORE, before)

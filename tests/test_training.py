@@ -144,3 +144,38 @@ def test_stream_scores_each_message_once(compared, spark, tmp_path):
     assert sorted(r["mail_id"] for r in records.collect()) == ["a", "b", "c"]
     assert records.agg(F.max(F.length("body"))).first()[0] == 500
     assert set(records.columns) >= {"processed_at", "mail_id", "subject", "body", "prediction", "probabilities"}
+
+
+def test_log_holds_each_message_once_after_a_kill(compared, spark, tmp_path):
+    """A batch whose commit is lost runs again: the state and the log take it once."""
+    model = compared.trained["Naive Bayes"].model
+    landing, log, checkpoint = tmp_path / "in", f"{tmp_path}/log", tmp_path / "checkpoint"
+
+    def run():
+        watch(spark, str(landing), log, str(checkpoint), model, None).awaitTermination()
+        return sorted(r["mail_id"] for r in spark.read.json(log).collect())
+
+    land(landing, "1.json", [message("a", "the", "of and"), message("b", "der", "und die")])
+    assert run() == ["a", "b"]
+    land(landing, "2.json", [message("b", "again", "und die"), message("c", "los", "que las")])
+    assert run() == ["a", "b", "c"]
+    for commit in (checkpoint / "commits").iterdir():  # killed after the last batch was written
+        if commit.name.strip(".").startswith("1"):
+            commit.unlink()
+    assert run() == ["a", "b", "c"]
+    land(landing, "3.json", [message("a", "late", "of and"), message("d", "le", "les")])
+    assert run() == ["a", "b", "c", "d"]
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    assert list((checkpoint / "state").rglob("*.zip"))  # as the store on disk keeps it
+
+
+def test_scope_leaves_nothing_behind(spark, folder):
+    import os
+
+    from mektup.queries import QUERIES
+    from mektup.session import shared_dir
+
+    base = shared_dir(spark)
+    before = set(os.listdir(base))
+    assert QUERIES["evaluation_tables"](spark, folder).count() > 0
+    assert set(os.listdir(base)) == before
