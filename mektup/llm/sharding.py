@@ -16,6 +16,8 @@ from mektup.session import written
 
 #: Bytes that each document takes besides its text.
 OVERHEAD = 8
+#: Groups that a task differences at once; further ones make partial partitions of their own.
+CHUNK = 100_000
 
 
 def difference(loads: list[list[float]], shards: int) -> list[list[int]]:
@@ -67,17 +69,26 @@ def difference(loads: list[list[float]], shards: int) -> list[list[int]]:
     return result
 
 
-def _differ_locally(shards: int):
+def _differ_locally(shards: int, chunk: int = CHUNK):
+    def placed(frames: list[pd.DataFrame], number: int) -> pd.DataFrame:
+        groups = pd.concat(frames, ignore_index=True)
+        order = np.lexsort((groups["key"].to_numpy(), -groups["bytes"].to_numpy()))
+        groups = groups.iloc[order]
+        found = difference([[float(x)] for x in groups["bytes"]], shards)
+        part = (TaskContext.get().partitionId() << 32) + number
+        return groups.assign(part=np.int64(part), subset=np.array([x[0] for x in found], dtype=np.int32))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = [x for x in batches if len(x)]
+        frames: list[pd.DataFrame] = []
+        number = 0
+        for batch in batches:
+            for at in range(0, len(batch), chunk):
+                frames.append(batch.iloc[at : at + chunk])
+                if sum(map(len, frames)) >= chunk:
+                    yield placed(frames, number)
+                    frames, number = [], number + 1
         if frames:
-            groups = pd.concat(frames, ignore_index=True)
-            order = np.lexsort((groups["key"].to_numpy(), -groups["bytes"].to_numpy()))
-            groups = groups.iloc[order]
-            placed = difference([[float(x)] for x in groups["bytes"]], shards)
-            yield groups.assign(
-                part=np.int32(TaskContext.get().partitionId()), subset=np.array([x[0] for x in placed], dtype=np.int32)
-            )
+            yield placed(frames, number)
 
     return run
 
@@ -86,9 +97,9 @@ def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     """doc_id, size, text_crc32, shard, slot of every row; equal texts share a shard, bytes are near equal.
 
     Differencing runs in two levels. Each partition of the groups (whose copies are summed before
-    the shuffle) differences its own groups into one partial partition of ``shards`` parts; the
-    driver then differences these partial partitions, ``shards`` sums for each partition, and the
-    outcome goes back as a table of that size. A group larger than a shard's share stays whole.
+    the shuffle) differences its own groups, up to `CHUNK` at once, into partial partitions of
+    ``shards`` parts; the driver then differences these, ``shards`` sums for so many groups, and
+    the outcome goes back as a table of that size. A group larger than a shard's share stays whole.
     Slots count from 0 in each shard. Null texts count as empty (size 8) and as equal; ids may be
     null or repeat, each row has its own slot. An empty table gives an empty result.
     """
@@ -104,7 +115,7 @@ def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     )
     groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
     local = written(
-        groups.mapInPandas(_differ_locally(shards), "key binary, bytes long, part int, subset int"), "shard-groups"
+        groups.mapInPandas(_differ_locally(shards), "key binary, bytes long, part long, subset int"), "shard-groups"
     )
     sums: dict[int, dict[int, int]] = {}
     for part, subset, total in local.groupBy("part", "subset").agg(F.sum("bytes")).collect():
@@ -114,7 +125,7 @@ def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     where = [
         (int(p), int(s), int(shard)) for p, found in zip(order, placed) for s, shard in zip(sorted(sums[p]), found)
     ]
-    where_table = spark.createDataFrame(where, "part int, subset int, shard int")
+    where_table = spark.createDataFrame(where, "part long, subset int, shard int")
     to = local.join(F.broadcast(where_table), ["part", "subset"]).select("key", "shard")
     buckets = partitions(spark)
     dealt = written(

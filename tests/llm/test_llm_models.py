@@ -151,7 +151,27 @@ def test_shards_of_documents(spark, folder):
     groups = {}
     for r in rows:
         groups[texts[r["doc_id"]]] = groups.get(texts[r["doc_id"]], 0) + r["size"]
-    assert max(sizes) <= max(1.1 * sum(sizes) / 24, max(groups.values()))
+    assert max(sizes) - min(sizes) <= max(groups.values())
+
+
+def test_groups_are_differenced_in_chunks():
+    import pandas as pd
+
+    groups = pd.DataFrame({"key": [bytes([k % 256, k // 256]) for k in range(900)], "bytes": [1 + (k * 7919) % 500 for k in range(900)]})
+
+    class Here:
+        partitionId = staticmethod(lambda: 3)
+
+    real, sharding.TaskContext = sharding.TaskContext, type("T", (), {"get": staticmethod(lambda: Here)})
+    try:
+        found = list(sharding._differ_locally(4, 100)(iter([groups[:350], groups[350:]])))
+    finally:
+        sharding.TaskContext = real
+    assert [len(f) for f in found][:3] == [100, 100, 100] and max(map(len, found)) <= 199
+    assert sorted(k for f in found for k in f["key"]) == sorted(groups["key"]) and len({f["part"].iloc[0] for f in found}) == len(found)
+    for f in found:
+        sums = f.groupby("subset")["bytes"].sum()
+        assert sums.max() - sums.min() <= f["bytes"].max()
 
 
 def test_shards_of_odd_rows(spark):
