@@ -70,11 +70,6 @@ def labels(rows: DataFrame, column: str = "category") -> DataFrame:
     return rows.select(column).distinct().orderBy(column)
 
 
-def label_index(rows: DataFrame, column: str = "category") -> dict[str, int]:
-    """Label → number, in code-point order. One entry per distinct label reaches the driver."""
-    return {r[0]: i for i, r in enumerate(labels(rows.dropna(subset=[column]), column).collect())}
-
-
 def metric_stats(rows: DataFrame) -> DataFrame:
     """One row with mean and population standard deviation per measure."""
     return rows.agg(

