@@ -71,11 +71,15 @@ def read_or_create_mails(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MAIL_SCHEMA).parquet(path)
 
 
+#: Rows of one CSV file: quoted line breaks make a file one task when it is read.
+CSV_FILE_ROWS = 5_000
+
+
 def write_mails(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Write a mail table as parquet, or as CSV with the quoting the reader expects."""
+    """Write a mail table as parquet, or as CSV files of bounded size with the quoting the reader expects."""
     writer = df.write.mode(mode)
     if fmt == "csv":
-        writer.csv(path, header=True, quote='"', escape='"')
+        writer.option("maxRecordsPerFile", CSV_FILE_ROWS).csv(path, header=True, quote='"', escape='"')
     else:
         writer.format(fmt).save(path)
 
