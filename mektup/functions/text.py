@@ -50,7 +50,9 @@ def nfkc(text: Column) -> Column:
 def lower_text(text: Column, turkish: bool = True) -> Column:
     if not turkish:
         return F.lower(text)
-    return F.replace(F.lower(F.translate(text, "İI", "iı")), F.lit("i̇"), F.lit("i"))
+    # two plain replacements; translate walks a text character by character, at three times the price
+    dotted = F.replace(F.replace(text, F.lit("İ"), F.lit("i")), F.lit("I"), F.lit("ı"))
+    return F.replace(F.lower(dotted), F.lit("i̇"), F.lit("i"))
 
 
 def clean_text(
@@ -96,7 +98,7 @@ def text_metrics(text: Column) -> dict[str, Column]:
     """The seven measures of a raw text, by name, in feature order."""
     words = word_total(text)
     chars = F.length(text)
-    letters = F.length(F.regexp_replace(text, f"[{SPACE}]+", ""))
+    letters = chars - F.regexp_count(text, F.lit(f"[{SPACE}]"))
     return {
         "words": words,
         "chars": chars,

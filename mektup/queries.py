@@ -82,7 +82,7 @@ def mail_metrics(spark, folder):
 
 @query
 def scaled_metrics(spark, folder):
-    rows = measured(spark, folder)
+    rows = written(measured(spark, folder), "measures")
     stats = prepare.metric_stats(rows).first().asDict()
     return rounded(prepare.scale_metrics(rows, stats).drop("category"), 6, *METRIC_NAMES)
 
@@ -241,7 +241,8 @@ def rules() -> dict[str, Column]:
 
 def rule_pairs(spark: SparkSession, folder: str, name: str = "by_letters") -> DataFrame:
     scored = clean(spark, folder).select("category", rules()[name].alias("prediction"))
-    return evaluate.pair_counts(scored)
+    # Evaluation reads the counts several times, and each time would clean every text again.
+    return written(evaluate.pair_counts(scored), "pairs")
 
 
 @query
@@ -555,7 +556,7 @@ def evaluation_tables(spark, folder):
     """All evaluation tables of a classifier written as CSV; the confusion matrix and the report read back."""
     with scratch_scope(spark):
         path = fresh_path(spark, "evaluation")
-        pairs = written(rule_pairs(spark, folder), "pairs")
+        pairs = rule_pairs(spark, folder)
         evaluate.write_reports(
             path,
             {
